@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafweave.llm import packing, token_files
+from leafweave.llm import collection_bwt, packing, suffix_trees, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": packing.packing_query,
+        "op5_suffix_tree_dedup": suffix_trees.substring_query,
+        "op6_collection_bwt_dedup": collection_bwt.suffix_array_query,
         "op4_token_files": token_files.token_file_query,
     }
 
