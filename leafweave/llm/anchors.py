@@ -235,7 +235,9 @@ def ranges(dealt: DataFrame, docs: DataFrame, plan: Plan, resolve) -> DataFrame:
     pieces: from a list of (key, doc_id, start, count, known, bytes) to the
     arrays doc_id, start, stop.
     """
-    todo = workdir.cut(judged(scan(docs, plan), plan))
+    # dealt by key alone, both windows of judged() share one exchange and one sort
+    found = scan(docs, plan).repartition(workdir.partitions(docs), "key")
+    todo = workdir.cut(judged(found, plan))
     windows = opened(dealt, todo, plan)
     solve = resolve(plan)
 

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Largest slice (bytes of text) that is looked at at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: True for the six ASCII white-space bytes that separate words.
 IS_SPACE = np.zeros(256, dtype=bool)
