@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafweave.llm import collection_bwt, packing, quality_rules, simhash, suffix_trees, token_files
+from leafweave.llm import collection_bwt, decontaminate, packing, pii, quality_rules, simhash, suffix_trees, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_collection_bwt_dedup": collection_bwt.suffix_array_query,
         "op9_simhash_bk_trees": simhash.simhash_query,
         "op10_distribution_divergence": quality_rules.quality_query,
+        "op1_cgk_decontamination": decontaminate.decontaminate_query,
+        "op3_weak_supervision_pii": pii.pii_query,
         "op4_token_files": token_files.token_file_query,
     }
 
