@@ -174,24 +174,30 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
+def distances(batch: pa.RecordBatch, means: dict[str, tuple[list[float], list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of measured rows to their language, of classes and common words; NaN where the test abstains."""
+    langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+    n_words = np.asarray(batch.column("n_words"))
+    classes = np.asarray(batch.column("classes").flatten()).reshape(-1, len(CLASSES)).astype(float)
+    common = np.asarray(batch.column("common").flatten()).reshape(-1, N_COMMON).astype(float)
+    one, two = np.full(len(langs), np.nan), np.full(len(langs), np.nan)
+    for lang, (c, w) in means.items():
+        at = np.flatnonzero((langs == lang) & (n_words >= MIN_CLASS_WORDS))
+        if len(at):
+            one[at] = js_distance(classes[at] / classes[at].sum(axis=1, keepdims=True).clip(1), np.array(c))
+        at = at[n_words[at] >= MIN_COMMON_WORDS]
+        if len(at):
+            shares = common[at] / n_words[at, None]
+            two[at] = js_distance(np.column_stack([shares, 1 - shares.sum(axis=1)]), np.array(w))
+    return one, two
+
+
 def judged(measured: DataFrame, means: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """Adds class_distance and common_distance (null where the test abstains), base_failed and kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            n_words = np.asarray(batch.column("n_words"))
-            classes = np.asarray(batch.column("classes").flatten()).reshape(-1, len(CLASSES)).astype(float)
-            common = np.asarray(batch.column("common").flatten()).reshape(-1, N_COMMON).astype(float)
-            one, two = np.full(len(langs), np.nan), np.full(len(langs), np.nan)
-            for lang, (c, w) in means.items():
-                at = np.flatnonzero((langs == lang) & (n_words >= MIN_CLASS_WORDS))
-                if len(at):
-                    one[at] = js_distance(classes[at] / classes[at].sum(axis=1, keepdims=True).clip(1), np.array(c))
-                at = at[n_words[at] >= MIN_COMMON_WORDS]
-                if len(at):
-                    shares = common[at] / n_words[at, None]
-                    two[at] = js_distance(np.column_stack([shares, 1 - shares.sum(axis=1)]), np.array(w))
+            one, two = distances(batch, means)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, from_pandas=True), pa.array(two, from_pandas=True)], [*batch.schema.names, "class_distance", "common_distance"])
 
     far = measured.mapInArrow(run, f"doc_id long, lang string, {FEATURES}, class_distance double, common_distance double")
@@ -210,16 +216,31 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return judged(measured, references(measured))
 
 
+def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` (all columns) that pass; texts are measured twice and never shuffled."""
+    numbered = docs.select(F.lit(0).alias("doc_id"), *[c for c in (text_col, lang_col) if c in docs.columns])
+    means = references(measure(numbered, "doc_id", text_col, lang_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(text_col))
+            at = batch.schema.get_field_index(lang_col)
+            langs = batch.column(at).to_pylist() if at >= 0 else [None] * batch.num_rows
+            data, offsets = tk.flat(text)
+            keep = []
+            for lo, hi in tk.slices(offsets):
+                m = _measured(pa.nulls(hi - lo, pa.int64()), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], langs[lo:hi])
+                one, two = distances(m, means)
+                n, again = np.asarray(m.column("n_words")), np.asarray(m.column("n_repeat_words"))
+                failed = (n < 10) | (100 * again > 20 * n)
+                keep.append(~failed & ~(np.nan_to_num(one) > MAX_CLASS_DISTANCE) & ~(np.nan_to_num(two) > MAX_COMMON_DISTANCE))
+            yield batch.filter(pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the whole table."""
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance")
 
-
-QUALITY_BASE = r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t)
-SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
-       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM w
-"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafweave.llm import collection_bwt, decontaminate, packing, pii, quality_rules, simhash, suffix_trees, token_files
+from leafweave.llm import collection_bwt, decontaminate, kd_shards, packing, pii, quality_rules, simhash, suffix_trees, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_distribution_divergence": quality_rules.quality_query,
         "op1_cgk_decontamination": decontaminate.decontaminate_query,
         "op3_weak_supervision_pii": pii.pii_query,
+        "op7_warc_derivatives": warc.warc_query,
+        "op8_kd_tree_shards": kd_shards.shard_query,
         "op4_token_files": token_files.token_file_query,
     }
 

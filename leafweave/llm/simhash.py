@@ -206,6 +206,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest; rows with a null id stay."""
+    other = near_duplicates(docs, radius, shingle, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(other, id_col, "left_anti").select(docs.columns)
+
+
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: near-duplicate classes of the whole table."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
