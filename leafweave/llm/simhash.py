@@ -32,7 +32,7 @@ SEED = 42
 #: Nodes of a shard's tree; a larger shard is split by more blocks, as far as there are bits.
 TREE_NODES = 2000
 #: b: the number of fingerprints from which the next larger is used.
-BLOCKS = ((5, 200_000), (6, 60_000_000), (7, 4_000_000_000), (8, 1 << 62))
+BLOCKS = ((6, 60_000_000), (7, 4_000_000_000), (8, 1 << 62))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
