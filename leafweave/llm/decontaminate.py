@@ -26,7 +26,7 @@ from leafweave.llm import textkit as tk
 #: Least share of an item's characters that needn't be edited.
 SIMILARITY = 0.8
 #: Steps of a walk, and of these the number that a key samples.
-STEPS, SAMPLE = 12, 6
+STEPS, SAMPLE = 20, 8
 #: Chance that a passage at the least similarity meets a key (see repeats_for).
 RECALL = 0.99
 #: Items whose keys are held by a task at once; more items are taken in blocks, a pass over the documents each.
@@ -34,7 +34,9 @@ BLOCK_ITEMS = 50_000
 #: Words that a window reaches beyond the aligned item on either side.
 SLACK = 8
 #: Items of fewer words have no walk; they are searched as they are.
-MIN_WORDS = 8
+MIN_WORDS = 14
+#: Words that a walk must have moved on by its last sample; a walk that stays among fewer says too little.
+LEAST_MOVE = 6
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -98,7 +100,8 @@ class Walks:
                 at = at + (tk.mix(symbol ^ self.salt[j]) >> tk.U64(63)).astype(np.int64)
                 ok = at < stop
                 at, start, stop, key = at[ok], start[ok], stop[ok], key[ok]
-        return partial, start, key
+        ok = at - start >= LEAST_MOVE
+        return partial, start[ok], key[ok]
 
 
 class Index:
