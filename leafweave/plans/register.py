@@ -1,11 +1,287 @@
-"""Register of the engine's queries and their SQL."""
+"""Register of the engine's queries and their SQL over the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from leafweave.functions import text as T
+from leafweave.operators import layout, quality, segments
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# views ----------------------------------------------------------------------
+
+
+def page_states(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", "quality")
+    c = F.when(F.col("quality") == 1, "N").when(F.col("quality") == 0, "G").when(F.col("doc_id") % 2 == 0, "E").otherwise("I")
+    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1
+    return docs.join(labels, "doc_id", "left").select(F.col("source").alias("doc"), page.alias("page"), c.alias("c"))
+
+
+PS = """ps AS (SELECT d.source AS doc, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS page,
+ CASE WHEN l.quality = 1 THEN 'N' WHEN l.quality = 0 THEN 'G' WHEN d.doc_id % 2 = 0 THEN 'E' ELSE 'I' END AS c
+ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+RESOLVED = f"""WITH RECURSIVE {PS}, nx AS (SELECT doc, page, c, coalesce(first(CASE WHEN c IN ('N','G') THEN c END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '') AS n FROM ps),
+ fold AS (SELECT doc, CAST(-1 AS BIGINT) AS page, '' AS c, '' AS acc FROM (SELECT DISTINCT doc FROM ps)
+ UNION ALL SELECT f.doc, x.page, x.c, f.acc || CASE
+  WHEN x.c = 'E' THEN CASE WHEN (p.v = 'G' AND x.n IN ('G','')) OR (x.n = 'G' AND p.v = '') THEN 'G' ELSE 'N' END
+  WHEN x.c = 'I' AND (p.v = 'G' OR x.n = 'G') THEN 'G' ELSE x.c END
+ FROM fold f JOIN nx x ON x.doc = f.doc AND x.page = f.page + 1, LATERAL (SELECT right(regexp_replace(right(f.acc, 5), '[^NG]', '', 'g'), 1) AS v) p),
+ res AS (SELECT doc, page, c AS before, right(acc, 1) AS after FROM fold WHERE page >= 0)"""
+
+
+def text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")))
+    return lines.select(F.col("doc_id").alias("doc"), F.col("pos").cast("long").alias("ord"), F.floor(F.col("pos") / 10).cast("long").alias("page"), ((F.col("pos") % 10) * 80).cast("double").alias("y0"), F.lit(800.0).alias("height"), F.col("col").alias("text"), F.when(F.length("col") <= 40, 16.0).otherwise(11.0).alias("font_size"))
+
+
+V1 = """tb AS (SELECT doc_id AS doc, ord, ord // 10 AS page, CAST((ord % 10) * 80 AS DOUBLE) AS y0, 800.0::DOUBLE AS height, text, CASE WHEN length(text) <= 40 THEN 16.0 ELSE 11.0 END AS font_size
+ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents))"""
+STRIP = r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+NORM = r"regexp_replace(regexp_replace(regexp_replace(text, '\p{Nd}+', '{n}', 'g'), '[\s\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def source_edges(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1
+    lines = F.split("text", "\n")
+    both = F.array(F.struct(F.lit(0).alias("ord"), F.lit(0.0).alias("y0"), F.element_at(lines, 1).alias("text")), F.struct(F.lit(1).alias("ord"), F.lit(760.0).alias("y0"), F.element_at(lines, -1).alias("text")))
+    return docs.select(F.col("source").alias("doc"), page.alias("page"), F.explode(both).alias("b")).select("doc", "page", "b.ord", "b.y0", F.lit(800.0).alias("height"), "b.text")
+
+
+V2 = """pg AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, string_split(text, chr(10)) AS ls FROM documents),
+ se AS (SELECT doc, page, 0 AS ord, 0.0 AS y0, ls[1] AS text FROM pg UNION ALL SELECT doc, page, 1, 760.0, ls[-1] FROM pg)"""
+FAM = f"""{V2}, cand AS (SELECT doc, page, CASE WHEN y0 < 96 THEN 'RUNNING_HEADER' ELSE 'RUNNING_FOOTER' END AS role, {NORM} AS pattern FROM se WHERE length({STRIP}) > 0),
+ pp AS (SELECT doc, role, pattern, page, count(*) AS n FROM cand WHERE length(pattern) >= 2 GROUP BY ALL),
+ rr AS (SELECT *, sum(n) OVER (PARTITION BY doc, role, pattern) AS total, page - row_number() OVER (PARTITION BY doc, role, pattern ORDER BY page) AS island FROM pp),
+ fam AS (SELECT doc, role, pattern, min(page) AS first_page, max(page) AS last_page, count(*) AS n_pages FROM rr WHERE total >= 3 GROUP BY doc, role, pattern, island HAVING count(*) >= 3)"""
+
+
+# quality --------------------------------------------------------------------
+
+
+@query(f"{RESOLVED} SELECT doc, page, before, after FROM res")
+def quality_resolve(spark, d):
+    return quality.resolve(page_states(spark, d))
+
+
+@query(f"{RESOLVED} SELECT count(*) AS total_pages, count(*) FILTER (after = 'N') AS normal, count(*) FILTER (after = 'G') AS garbled, count(*) FILTER (after = 'I') AS image_only, count(*) FILTER (after = 'E') AS \"empty\" FROM res")
+def quality_summary(spark, d):
+    return quality.summary(quality.resolve(page_states(spark, d)))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'IMAGE_ONLY' ELSE 'EMPTY' END WHEN length(regexp_replace(text, '[^éñüä]', '', 'g')) > 0 THEN 'NORMAL_TEXT' ELSE 'GARBLED_TEXT' END AS state FROM documents")
+def quality_first_pass(spark, d):
+    docs = table(spark, d, "documents")
+    pages = docs.select("doc_id", F.length("text").alias("char_count"), T.count_class(F.col("text"), "[éñüä]").alias("cjk_count"), (1 - F.col("doc_id") % 2).alias("image_count"))
+    return quality.first_pass(pages).select("doc_id", "state")
+
+
+@query(f"WITH {PS}, {V1} SELECT tb.doc, count(*) AS n_blocks FROM tb JOIN documents d ON d.doc_id = tb.doc JOIN labels l ON l.doc_id = tb.doc WHERE l.quality = 1 GROUP BY tb.doc")
+def filter_normal_pages(spark, d):
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
+    return text_blocks(spark, d).join(good, "doc", "left_semi").groupBy("doc").agg(F.count("*").alias("n_blocks"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1)::BIGINT AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def join_page_quality(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).cast("long").alias("quality"))
+
+
+# text and layout --------------------------------------------------------------
+
+
+@query(f"WITH {V1} SELECT doc, page, CASE WHEN y0 < 96 THEN 'RUNNING_HEADER' ELSE 'RUNNING_FOOTER' END AS role, count(*) AS n FROM tb WHERE (y0 < 96 OR y0 > 704) AND length({STRIP}) > 0 GROUP BY ALL")
+def band_candidates(spark, d):
+    return layout.band_candidates(text_blocks(spark, d)).groupBy("doc", "page", "role").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FAM} SELECT * FROM fam")
+def layout_families(spark, d):
+    return layout.families(layout.band_candidates(source_edges(spark, d)))
+
+
+@query(f"WITH {FAM}, nb AS (SELECT doc, page, ord, {NORM} AS pattern FROM se) SELECT nb.doc, nb.page, nb.ord::BIGINT AS ord, coalesce(min(fam.role), 'BODY') AS role FROM nb LEFT JOIN fam ON fam.doc = nb.doc AND fam.pattern = nb.pattern AND nb.page BETWEEN fam.first_page AND fam.last_page GROUP BY nb.doc, nb.page, nb.ord")
+def mark_running_blocks(spark, d):
+    blocks = source_edges(spark, d)
+    out = layout.mark(blocks, layout.families(layout.band_candidates(blocks)))
+    return out.groupBy("doc", "page", F.col("ord").cast("long").alias("ord")).agg(F.min("role").alias("role"))
+
+
+@query(f"WITH {V1} SELECT doc, ord, {NORM} AS pattern FROM tb")
+def normalize_pattern(spark, d):
+    return text_blocks(spark, d).select("doc", "ord", T.normalize_pattern(F.col("text")).alias("pattern"))
+
+
+@query(rf"WITH {V1} SELECT doc, ord, regexp_replace(text, '[\s\p{{Z}}]+', '', 'g') AS heading FROM tb")
+def normalize_heading(spark, d):
+    return text_blocks(spark, d).select("doc", "ord", T.normalize_heading(F.col("text")).alias("heading"))
+
+
+@query(f"WITH {V1} SELECT doc, page, string_agg(text, '' ORDER BY ord) AS page_text FROM tb GROUP BY doc, page")
+def page_text(spark, d):
+    rows = text_blocks(spark, d).groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("b"))
+    return rows.select("doc", "page", F.array_join(F.col("b.text"), "").alias("page_text"))
+
+
+@query(f"WITH {V1} SELECT doc, page, sum(length(replace(text, ' ', '')))::BIGINT AS char_count FROM tb GROUP BY doc, page")
+def page_char_count(spark, d):
+    return text_blocks(spark, d).groupBy("doc", "page").agg(F.sum(F.length(F.translate("text", " \n", ""))).alias("char_count"))
+
+
+@query(r"""SELECT doc_id, total, letters, digits, CASE WHEN total = 0 THEN 0 ELSE round(letters / total, 6) END AS letter_ratio FROM (SELECT doc_id, length(regexp_replace(text, '[\s\p{Z}]', '', 'g')) AS total,
+ length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS digits FROM documents)""")
+def page_text_stats(spark, d):
+    x = F.col("text")
+    s = table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(x, T.WS, "")).cast("long").alias("total"), T.count_class(x, r"\p{L}").alias("letters"), T.count_class(x, r"\p{Nd}").alias("digits"))
+    return s.withColumn("letter_ratio", F.when(F.col("total") == 0, 0.0).otherwise(F.round(F.col("letters") / F.col("total"), 6)))
+
+
+@query(f"WITH {V1} SELECT doc, ord FROM tb WHERE page = 0 AND ord < 4")
+def first_blocks(spark, d):
+    return text_blocks(spark, d).where("page = 0 and ord < 4").select("doc", "ord")
+
+
+@query(f"WITH {V1} SELECT doc, min(page) AS anchor FROM tb WHERE font_size >= 13 AND length(text) > 0 GROUP BY doc")
+def anchor_pages(spark, d):
+    return text_blocks(spark, d).where("font_size >= 13 and length(text) > 0").groupBy("doc").agg(F.min("page").alias("anchor"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def html_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("SELECT doc_id, left(sha256(source || text), 16) AS input_hash FROM documents")
+def llm_input_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.substring(F.sha2(F.concat("source", "text"), 256), 1, 16).alias("input_hash"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.missing'), 'none') AS field FROM events")
+def llm_json_fields(spark, d):
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("field"))
+
+
+_TITLES = ["契約價金之給付", "驗收", "教育 訓練", "專案管理", "維運服務", "交付文件驗收", "其他", "資安要求", "系統功能"]
+
+
+@query("SELECT title, category FROM (VALUES ('契約價金之給付','PAYMENT'),('驗收','ACCEPTANCE'),('教育 訓練','TRAINING'),('專案管理','MANAGEMENT'),('維運服務','MAINTENANCE'),('交付文件驗收','ACCEPTANCE'),('其他','UNCLASSIFIED'),('資安要求','SECURITY_ACTIVITY'),('系統功能','SCOPE')) t(title, category)")
+def rule_classify(spark, d):
+    return spark.createDataFrame([(t,) for t in _TITLES], "title string").select("title", T.classify_title(F.col("title")).alias("category"))
+
+
+# segments ---------------------------------------------------------------------
+
+
+@query(f"WITH {PS}, r AS (SELECT *, CASE WHEN lag(c) OVER (PARTITION BY doc ORDER BY page) = c THEN 0 ELSE 1 END AS new FROM ps), q AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY page) AS seq FROM r) SELECT doc, seq::BIGINT AS seq, c AS label, min(page) AS start_page, max(page) AS end_page, count(*) AS n_pages FROM q GROUP BY doc, seq, c")
+def subdoc_segments(spark, d):
+    return segments.run_length(page_states(spark, d).withColumnRenamed("c", "label"))
+
+
+@query(f"WITH {PS} SELECT doc, page, coalesce(last_value(CASE WHEN c IN ('N','G') THEN c END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS UNBOUNDED PRECEDING), 'CONTRACT_BODY') AS label FROM ps")
+def label_forward_fill(spark, d):
+    rows = page_states(spark, d).select("doc", "page", F.when(F.col("c").isin("N", "G"), F.col("c")).alias("label"))
+    return segments.forward_fill(rows)
+
+
+@query(f"WITH {PS} SELECT doc, min(page) FILTER (c = 'G') AS first_bid, max(page) FILTER (c = 'G') AS last_bid, min(page) FILTER (c = 'I') AS first_eval FROM ps GROUP BY doc")
+def zone_bounds(spark, d):
+    def at(c):
+        return F.when(F.col("c") == c, F.col("page"))
+
+    return page_states(spark, d).groupBy("doc").agg(F.min(at("G")).alias("first_bid"), F.max(at("G")).alias("last_bid"), F.min(at("I")).alias("first_eval"))
+
+
+@query(f"WITH {PS}, t AS (SELECT *, max(page) OVER (PARTITION BY doc) AS last_page FROM ps), n AS (SELECT *, lead(page) OVER (PARTITION BY doc ORDER BY page) AS nx FROM t WHERE c = 'N') SELECT doc, page, CASE WHEN nx IS NULL THEN last_page WHEN nx = page THEN page ELSE nx - 1 END AS end_page FROM n")
+def section_intervals(spark, d):
+    rows = page_states(spark, d).withColumn("last_page", F.max("page").over(Window.partitionBy("doc"))).where("c = 'N'").withColumn("ord", F.lit(0))
+    return segments.interval_ends(rows).select("doc", "page", "end_page")
+
+
+@query("WITH f AS (SELECT user_id AS doc, CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) AS page, event_id AS t, event_type AS s FROM events), g AS (SELECT *, CASE WHEN lag(s) OVER w = s AND s <> '' AND page - lag(page) OVER w IN (0, 1) AND page % 7 <> 0 THEN 0 ELSE 1 END AS b FROM f WINDOW w AS (PARTITION BY doc ORDER BY page, t)), h AS (SELECT *, sum(b) OVER (PARTITION BY doc ORDER BY page, t) AS grp FROM g) SELECT doc, grp::BIGINT AS grp, min(page) AS page_start, max(page) AS page_end, count(*) AS n_fragments, max(page) > min(page) AS cross_page, CASE WHEN count(*) = 1 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence FROM h GROUP BY doc, grp")
+def merge_fragments(spark, d):
+    page = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc"), page.alias("page"), F.col("event_id").alias("t"), F.col("event_type").alias("signature"), (page % 7 == 0).alias("captioned"))
+    return segments.merge_fragments(rows)
+
+
+# tree ---------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+def orphan_items(spark, d):
+    items = table(spark, d, "orders")
+    return items.join(items.where("o_orderstatus <> 'P'").select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT r_regionkey::BIGINT AS region, n_nationkey::BIGINT AS nation, r || '.' || n AS code FROM (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS r FROM region) a JOIN (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation) b ON n_regionkey = r_regionkey")
+def wbs_codes(spark, d):
+    r = table(spark, d, "region").withColumn("r", F.row_number().over(Window.orderBy("r_regionkey")))
+    n = table(spark, d, "nation").withColumn("n", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("r_regionkey").cast("long").alias("region"), F.col("n_nationkey").cast("long").alias("nation"), F.concat_ws(".", "r", "n").alias("code"))
+
+
+@query("SELECT o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 1")
+def category_histogram(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey::BIGINT AS node, count(o_orderkey) AS n_items FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def subtree_item_counts(spark, d):
+    per = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    n = table(spark, d, "nation").select("n_nationkey")
+    return n.join(c, n.n_nationkey == c.c_nationkey, "left").select(F.col("n_nationkey").cast("long").alias("node"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
+
+
+@query("SELECT o_custkey AS section, o_orderkey AS item FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 20")
+def topn_items_per_section(spark, d):
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, d, "orders").withColumn("r", r).where("r <= 20").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").alias("item"))
+
+
+@query("SELECT o_custkey AS section, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 2")
+def sections_with_pairs(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("section")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query("SELECT o_orderkey AS item FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%'")
+def search_items(spark, d):
+    return table(spark, d, "orders").where(F.lower("o_orderpriority").contains("urgent")).select(F.col("o_orderkey").alias("item"))
+
+
+_STAGES = "(VALUES (1,'DONE'),(2,'DONE'),(3,'FAILED'),(4,'STALE')) t(ordinal, status)"
+
+
+@query(f"SELECT min(ordinal)::BIGINT AS pending FROM {_STAGES} WHERE status <> 'DONE'")
+def stage_first_pending(spark, d):
+    return spark.createDataFrame([(1, "DONE"), (2, "DONE"), (3, "FAILED"), (4, "STALE")], "ordinal long, status string").where("status <> 'DONE'").agg(F.min("ordinal").alias("pending"))
