@@ -14,7 +14,7 @@ def band_candidates(blocks: DataFrame, header: float = 0.12, footer: float = 0.1
     return blocks.withColumn("role", role).where(F.col("role").isNotNull() & (F.length(T.strip(F.col("text"))) > 0))
 
 
-def families(candidates: DataFrame, least: int = 3) -> DataFrame:
+def families(candidates: DataFrame, least: int = 2) -> DataFrame:
     """(doc, role, pattern, first_page, last_page) of runs of consecutive pages; least holds for blocks and for a run's pages."""
     rows = candidates.withColumn("pattern", T.normalize_pattern(F.col("text"))).where(F.length("pattern") >= 2)
     key = ["doc", "role", "pattern"]

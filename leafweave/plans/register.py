@@ -75,7 +75,8 @@ def source_edges(spark: SparkSession, d: str) -> DataFrame:
     page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1
     lines = F.split("text", "\n")
     both = F.array(F.struct(F.lit(0).alias("ord"), F.lit(0.0).alias("y0"), F.element_at(lines, 1).alias("text")), F.struct(F.lit(1).alias("ord"), F.lit(760.0).alias("y0"), F.element_at(lines, -1).alias("text")))
-    return docs.select(F.col("source").alias("doc"), page.alias("page"), F.explode(both).alias("b")).select("doc", "page", "b.ord", "b.y0", F.lit(800.0).alias("height"), "b.text")
+    numbered = docs.withColumn("page", page)  # before the rows multiply: a window beside explode() would see its output
+    return numbered.select(F.col("source").alias("doc"), "page", F.explode(both).alias("b")).select("doc", "page", "b.ord", "b.y0", F.lit(800.0).alias("height"), "b.text")
 
 
 V2 = """pg AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, string_split(text, chr(10)) AS ls FROM documents),
@@ -83,7 +84,7 @@ V2 = """pg AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDE
 FAM = f"""{V2}, cand AS (SELECT doc, page, CASE WHEN y0 < 96 THEN 'RUNNING_HEADER' ELSE 'RUNNING_FOOTER' END AS role, {NORM} AS pattern FROM se WHERE length({STRIP}) > 0),
  pp AS (SELECT doc, role, pattern, page, count(*) AS n FROM cand WHERE length(pattern) >= 2 GROUP BY ALL),
  rr AS (SELECT *, sum(n) OVER (PARTITION BY doc, role, pattern) AS total, page - row_number() OVER (PARTITION BY doc, role, pattern ORDER BY page) AS island FROM pp),
- fam AS (SELECT doc, role, pattern, min(page) AS first_page, max(page) AS last_page, count(*) AS n_pages FROM rr WHERE total >= 3 GROUP BY doc, role, pattern, island HAVING count(*) >= 3)"""
+ fam AS (SELECT doc, role, pattern, min(page) AS first_page, max(page) AS last_page, count(*) AS n_pages FROM rr WHERE total >= 2 GROUP BY doc, role, pattern, island HAVING count(*) >= 2)"""
 
 
 # quality --------------------------------------------------------------------
