@@ -48,3 +48,32 @@ def classify_title(title: Column) -> Column:
     for category, words in reversed(CATEGORY_RULES):
         out = F.when(flat.rlike(words), category).otherwise(out)
     return out
+
+
+def toc_like(x: Column) -> Column:
+    return x.contains("....") | x.contains("…")
+
+
+_NUMERALS = "壹貳參肆伍陸柒捌玖拾一二三四五六七八九十"
+
+
+def toc_entry(line: Column) -> Column:
+    """(title, page, level) of a contents line, null for others: a single numeral is level 1, others and those in brackets level 2."""
+    main, sub = rf"([{_NUMERALS}]+)[、.．]\s*(.+?)\s*[.…·]+\s*([0-9]+)\s*$", rf"[（(]([{_NUMERALS}]+)[）)]\s*(.+?)\s*[.…·]+\s*([0-9]+)\s*$"
+
+    def entry(pattern: str, title: Column, level: Column) -> Column:
+        return F.when(line.rlike(pattern), F.struct(title.alias("title"), F.regexp_extract(line, pattern, 3).cast("long").alias("page"), level.cast("long").alias("level")))
+
+    numeral = F.regexp_extract(line, main, 1)
+    first = entry(main, F.concat(numeral, F.lit("、"), F.regexp_extract(line, main, 2)), F.when(F.length(numeral) == 1, 1).otherwise(2))
+    return F.coalesce(first, entry(sub, F.regexp_extract(line, sub, 2), F.lit(2)))
+
+
+def caption(line: Column) -> Column:
+    """A table caption with its number's leading zeros gone, empty for other lines."""
+    flat, raw, tight = normalize_heading(line), r"表\s*([0-9]+)\s+(.+)", r"表([0-9]+)\s*(.+)"
+
+    def made(x: Column, pattern: str) -> Column:
+        return F.when(x.rlike(pattern), F.concat(F.lit("表"), F.regexp_extract(x, pattern, 1).cast("long").cast("string"), F.lit(" "), F.regexp_extract(x, pattern, 2)))
+
+    return F.coalesce(made(line, raw), made(flat, tight), F.lit(""))
