@@ -1,3 +1,3 @@
 """Importing the package registers all queries."""
 
-from leafweave.plans import register, table_queries  # noqa: F401
+from leafweave.plans import register, table_queries, tree_queries  # noqa: F401
