@@ -18,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,6 +32,16 @@ VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, type string, uri string, date string, headers map<string,string>, block binary"
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+_HIDDEN = frozenset("script style template noscript".split())
+#: What well-formed pages consist of beside text; a page with any other "<" goes to the parser.
+_ATTRIBUTE = r"""[ \t\n]+([a-zA-Z][a-zA-Z0-9:_-]*)(?:=(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>=`/]+)(?=[\s>]|$)))?"""
+_ATTRIBUTES = re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE)
+_TOKEN = re.compile(
+    r"<(?!(?:script|style|title|textarea|xmp|iframe|noembed|noframes|plaintext|svg|math)\b|(?:template|noscript)\b[^>]*/>)(/?)([a-z][a-z0-9-]*)"
+    rf"((?:{_ATTRIBUTES})*)[ \t\n]*/?>|<title>([^<]*)</title>|<!DOCTYPE html>|<!--[^<>-]*(?:-[^<>-]+)*-->"
+    rf"|<script(?:{_ATTRIBUTES})*>[^<]*(?:<(?!(?i:/?script)|!)[^<]*)*</script>|<style(?:{_ATTRIBUTES})*>[^<]*(?:<(?!(?i:/?style)|!)[^<]*)*</style>"
+)
+_ATTRIBUTE = re.compile(_ATTRIBUTE)
 
 
 def digest(data: bytes) -> str:
@@ -57,7 +68,7 @@ class _Page(HTMLParser):
         return j
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style", "template", "noscript"):
+        if tag in _HIDDEN:
             self.hidden += 1
         elif tag == "title":
             self.in_title = True
@@ -68,7 +79,7 @@ class _Page(HTMLParser):
                 self.links.append(value)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "template", "noscript"):
+        if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag == "title":
             self.in_title = False
@@ -82,11 +93,34 @@ class _Page(HTMLParser):
             self.text.append(data)
 
 
+def _read(html: str) -> _Page:
+    """A page of well-formed tokens only, read token by token, else by the parser; both give the same."""
+    page, parts = _Page(), _TOKEN.split(html)
+    texts = parts[::5]
+    if any("<" in t for t in texts):
+        page.feed(html)
+        page.close()
+        return page
+    out = page.text
+    for text, close, tag, attributes, title in zip(texts, [None, *parts[1::5]], [None, *parts[2::5]], [None, *parts[3::5]], [None, *parts[4::5]], strict=True):
+        if tag:
+            if tag in _BLOCKS:
+                out.append("\n")
+            elif tag in _HIDDEN:
+                page.hidden = max(0, page.hidden - 1) if close else page.hidden + 1
+            elif tag == "a" and attributes and not close:
+                found = ((m[1], m[2] or m[3] or m[4]) for m in _ATTRIBUTE.finditer(attributes))
+                page.links += [unescape(v) for k, v in found if v and k.lower() == "href"]
+        elif title:
+            page.title.append(unescape(title))
+        if text and not page.hidden:
+            out.append(unescape(text) if "&" in text else text)
+    return page
+
+
 def convert(html: str) -> tuple[str, str, list[str]]:
     """(visible text with a line for each block, title, links)."""
-    page = _Page()
-    page.feed(html)
-    page.close()
+    page = _read(html)
     lines = (" ".join(x.split()) for x in "".join(page.text).split("\n"))
     return "\n".join(x for x in lines if x), " ".join("".join(page.title).split()), page.links
 
