@@ -17,9 +17,10 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -200,74 +201,87 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """Response records of pages (page_id, url, html)."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            yield from batch.slice(lo, 500).to_pylist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                yield _batch([response(r["page_id"], r["url"], r["html"]) for r in batch.slice(lo, 500).to_pylist()])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, RECORD)
+def _batches(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(records, 500)):
+        yield _batch(held)
 
 
-def derive(records: DataFrame) -> DataFrame:
-    """Metadata and conversion records of all responses."""
+def _responses(pages: Iterator[dict]) -> Iterator[dict]:
+    return (response(r["page_id"], r["url"], r["html"]) for r in pages)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                if out := [d for r in batch.slice(lo, 500).to_pylist() for d in derived(r)]:
-                    yield _batch(out)
 
-    return records.mapInArrow(run, RECORD)
+def _derived(records: Iterator[dict]) -> Iterator[dict]:
+    return (d for r in records for d in derived(r))
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
-    """Writes a file for each partition; returns path and n_records of those that have any."""
+def _held(paths: Iterator[dict]) -> Iterator[dict]:
+    """Records of the files, one at a time."""
+    for row in paths:
+        fs, at = workdir.open_fs(row["path"])
+        with fs.open_input_stream(at, compression=None) as stream:
+            yield from map(parse, members(stream))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
 
-        from pyspark import TaskContext
+def _written(records: Iterator[dict], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes a task's records to its file; path and n_records unless there are none."""
+    import os
 
-        context = TaskContext.get()
-        fs, root = workdir.open_fs(folder)
-        fs.create_dir(root, recursive=True)
-        name = f"part-{context.partitionId():06d}.warc.gz"
-        mine, n = f"{root}/.{name}.{context.taskAttemptId()}-{os.getpid()}", 0
-        with fs.open_output_stream(mine, compression=None) as out:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    out.write(gzip.compress(serialise(r), 6, mtime=0))
-                    n += 1
-        if not n:
-            fs.delete_file(mine)
-            return
-        fs.move(mine, f"{root}/{name}")
-        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": pa.array([n], pa.int64())})
+    from pyspark import TaskContext
 
-    files = records.mapInArrow(run, "path string, n_records long").collect()  # a row for each file
-    return records.sparkSession.createDataFrame(sorted((r["path"], r["n_records"]) for r in files), "path string, n_records long")
+    context = TaskContext.get()
+    fs, root = workdir.open_fs(folder)
+    fs.create_dir(root, recursive=True)
+    name = f"part-{context.partitionId():06d}.warc.gz"
+    mine, n = f"{root}/.{name}.{context.taskAttemptId()}-{os.getpid()}", 0
+    with fs.open_output_stream(mine, compression=None) as out:
+        for r in records:
+            out.write(gzip.compress(serialise(r), 6, mtime=0))
+            n += 1
+    if not n:
+        fs.delete_file(mine)
+        return
+    fs.move(mine, f"{root}/{name}")
+    yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": pa.array([n], pa.int64())})
 
 
-def read(files: DataFrame) -> DataFrame:
-    """All records of the files, a task for each file, a record at a time."""
+def _files(rows: DataFrame, records: Callable[[Iterator[dict]], Iterator[dict]], folder: str) -> DataFrame:
+    """Files of the records made from the rows, in the task that reads them."""
+    found = rows.mapInArrow(lambda batches: _written(records(_rows(batches)), folder), "path string, n_records long").collect()  # a row for each file
+    return rows.sparkSession.createDataFrame(sorted((r["path"], r["n_records"]) for r in found), "path string, n_records long")
+
+
+def _columns(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    return files.select("path").repartition(max(1, files.count()))
+
+
+def responses(pages: DataFrame) -> DataFrame:
+    """Response records of pages (page_id, url, html)."""
+    return _columns(pages).mapInArrow(lambda batches: _batches(_responses(_rows(batches))), RECORD)
+
+
+def derive(records: DataFrame) -> DataFrame:
+    """Metadata and conversion records of all responses."""
+    return records.mapInArrow(lambda batches: _batches(_derived(_rows(batches))), RECORD)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path in (p for b in batches for p in b.column(0).to_pylist()):
-            fs, at = workdir.open_fs(path)
-            with fs.open_input_stream(at, compression=None) as stream:
-                held: list[dict] = []
-                for m in members(stream):
-                    held.append(parse(m))
-                    if len(held) == 500:
-                        yield _batch(held)
-                        held = []
-                if held:
-                    yield _batch(held)
 
-    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, RECORD)
+def write(records: DataFrame, folder: str) -> DataFrame:
+    """Writes a file for each partition; returns path and n_records of those that have any."""
+    return _files(records, iter, folder)
+
+
+def read(files: DataFrame) -> DataFrame:
+    """All records of the files, a task for each file, a record at a time."""
+    return _dealt(files).mapInArrow(lambda batches: _batches(_held(_rows(batches))), RECORD)
 
 
 def derivatives(pages: DataFrame) -> DataFrame:
@@ -277,8 +291,9 @@ def derivatives(pages: DataFrame) -> DataFrame:
     repeated row repeats its records; an empty table gives none.
     """
     spark = pages.sparkSession
-    source = write(responses(pages), workdir.new_folder(spark, "warc-responses"))
-    return read(write(derive(read(source)), workdir.new_folder(spark, "warc-derivatives")))
+    source = _files(_columns(pages), _responses, workdir.new_folder(spark, "warc-responses"))
+    made = _files(_dealt(source), lambda paths: _derived(_held(paths)), workdir.new_folder(spark, "warc-derivatives"))
+    return read(made)
 
 
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
