@@ -31,6 +31,8 @@ from leafweave.llm import workdir
 VERSION = b"WARC/1.1"
 #: Date of records that have none of their own.
 DATE = "2024-01-01T00:00:00Z"
+#: Level of compression: 4 made files 1 % larger than 6 and took two thirds of its time.
+LEVEL = 4
 RECORD = "record_id string, type string, uri string, date string, headers map<string,string>, block binary"
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _HIDDEN = frozenset("script style template noscript".split())
@@ -241,7 +243,7 @@ def _written(records: Iterator[dict], folder: str) -> Iterator[pa.RecordBatch]:
     mine, n = f"{root}/.{name}.{context.taskAttemptId()}-{os.getpid()}", 0
     with fs.open_output_stream(mine, compression=None) as out:
         for r in records:
-            out.write(gzip.compress(serialise(r), 6, mtime=0))
+            out.write(gzip.compress(serialise(r), LEVEL, mtime=0))
             n += 1
     if not n:
         fs.delete_file(mine)

@@ -208,3 +208,18 @@ def test_warc(spark):
         assert r.headers["WARC-Source-Payload-Digest"] == source[r.headers["WARC-Refers-To"]].headers["WARC-Payload-Digest"]
     assert any(bytes(r.block) == b"Hi there\nyou" for r in got)
     assert warc.derivatives(pages.where("page_id < 0")).count() == 0
+
+
+def test_warc_tokens_equal_parser():
+    rng = random.Random(5)
+    bits = ['<p>', "</p>", '<script>var t="</p>";</script>', "<script>", "<style>p{}</style>", "<title>a &amp; b</title>", "x y", " &amp; ", "&lt", "<A HREF=u>", '<a x href="q&amp;r">', "<a href=''>", "</a>", "<!-- ad -->", "<!--->", "<br/>", "\n", '<div id="1">', "</div >", "<noscript>", "</noscript>", "<template/>", "<", "&copy", "<textarea>", "</title>"]
+    split = 0
+    for _ in range(5000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        page = warc._Page()
+        page.feed(html)
+        page.close()
+        got = warc._read(html)
+        assert ("".join(got.text).split(), "".join(got.title), got.links) == ("".join(page.text).split(), "".join(page.title), page.links), html
+        split += "<" not in "".join(warc._TOKEN.split(html)[::5])
+    assert 500 < split < 4500
