@@ -77,3 +77,15 @@ def caption(line: Column) -> Column:
         return F.when(x.rlike(pattern), F.concat(F.lit("表"), F.regexp_extract(x, pattern, 1).cast("long").cast("string"), F.lit(" "), F.regexp_extract(x, pattern, 2)))
 
     return F.coalesce(made(line, raw), made(flat, tight), F.lit(""))
+
+
+def _common_han() -> str:
+    """Ideographs that Big5 can write, and the blocks of CJK and full-width punctuation."""
+    han = (chr(c) for c in range(0x4E00, 0xA000) if chr(c).encode("big5", "ignore"))
+    return "".join([*han, *map(chr, range(0x3000, 0x3040)), *map(chr, range(0xFF01, 0xFF61))])
+
+
+def count_common_han(x: Column) -> Column:
+    """Common characters other than white space; a translation, as a pattern of so many ranges is slow."""
+    flat = normalize_heading(x)
+    return (F.length(flat) - F.length(F.translate(flat, _common_han(), ""))).cast("long")
