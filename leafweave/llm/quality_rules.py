@@ -34,8 +34,10 @@ CLASSES = ("lower", "upper", "digit", "punctuation", "symbol", "other")
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) that pass, and the words from which they are judged.
 MAX_CLASS_DISTANCE = 0.30
 MIN_CLASS_WORDS = 20
-MAX_COMMON_DISTANCE = 0.85
-MIN_COMMON_WORDS = 200
+MAX_COMMON_DISTANCE = 0.20
+MIN_COMMON_WORDS = 80
+#: Few words scatter more: the limit is never below the first number plus the second over the root of the words.
+COMMON_SCATTER = (0.11, 1.7)
 
 _CLASS = np.full(256, 5, dtype=np.uint8)
 _CLASS[0x21:0x7F] = 4
@@ -192,6 +194,12 @@ def distances(batch: pa.RecordBatch, means: dict[str, tuple[list[float], list[fl
     return one, two
 
 
+def common_limit(n_words: np.ndarray) -> np.ndarray:
+    """Largest distance of common words that passes, by the number of words."""
+    base, scatter = COMMON_SCATTER
+    return np.maximum(MAX_COMMON_DISTANCE, base + scatter / np.sqrt(np.maximum(n_words, 1)))
+
+
 def judged(measured: DataFrame, means: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """Adds class_distance and common_distance (null where the test abstains), base_failed and kept."""
 
@@ -201,7 +209,9 @@ def judged(measured: DataFrame, means: dict[str, tuple[list[float], list[float]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, from_pandas=True), pa.array(two, from_pandas=True)], [*batch.schema.names, "class_distance", "common_distance"])
 
     far = measured.mapInArrow(run, f"doc_id long, lang string, {FEATURES}, class_distance double, common_distance double")
-    unlike = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("common_distance", F.lit(0.0)) > MAX_COMMON_DISTANCE)
+    base, scatter = COMMON_SCATTER
+    limit = F.greatest(F.lit(MAX_COMMON_DISTANCE), F.lit(base) + F.lit(scatter) / F.sqrt(F.greatest("n_words", F.lit(1))))
+    unlike = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("common_distance", F.lit(0.0)) > limit)
     return far.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~unlike).drop("classes", "common")
 
 
@@ -233,7 +243,7 @@ def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 one, two = distances(m, means)
                 n, again = np.asarray(m.column("n_words")), np.asarray(m.column("n_repeat_words"))
                 failed = (n < 10) | (100 * again > 20 * n)
-                keep.append(~failed & ~(np.nan_to_num(one) > MAX_CLASS_DISTANCE) & ~(np.nan_to_num(two) > MAX_COMMON_DISTANCE))
+                keep.append(~failed & ~(np.nan_to_num(one) > MAX_CLASS_DISTANCE) & ~(np.nan_to_num(two) > common_limit(n)))
             yield batch.filter(pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

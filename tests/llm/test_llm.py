@@ -155,6 +155,24 @@ def test_quality(table, empty):
     assert quality_rules.quality(empty).count() == quality_rules.passing(empty).count() == 0
 
 
+def test_common_words_reject(spark):
+    rng = random.Random(4)
+
+    def prose(lang, k):
+        common = quality_rules.COMMON[lang].split()
+        return " ".join(rng.choice(common) if rng.random() < 0.25 else "".join(rng.choice("aeinorst") for _ in range(rng.randint(3, 9))) for _ in range(k))
+
+    rare = lambda k: ["".join(rng.choice("aeinorst") for _ in range(rng.randint(5, 9))) for _ in range(k)]
+    clean = [(i, prose(lang, rng.randint(150, 900)), lang) for i, lang in enumerate(["en", "de"] * 100)]
+    lists = [(1000 + i, " | ".join(rare(k)), "en") for i, k in enumerate((100, 120, 200, 400))]
+    wrong = [(2000 + i, prose("de", k), "en") for i, k in enumerate((150, 300, 600))]
+    docs = spark.createDataFrame(clean + lists + wrong, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.quality(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {i for i, *_ in lists + wrong}
+    assert {r.doc_id for r in quality_rules.passing(docs).collect()} == {i for i, *_ in clean}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
