@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafweave.llm import decontaminate, packing, pii, quality_rules, simhash, tokens, workdir
+from leafweave.llm import decontaminate, packing, pii, quality_rules, similar, tokens, workdir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: that with the smallest id."""
-    return simhash.representatives(docs)
+    """Keeps one document of each group of five-word Jaccard similarity 0.8 or more: that with the smallest id."""
+    return similar.representatives(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from leafweave.llm import collection_bwt, decontaminate, kd_shards, packing, pii, quality_rules, simhash, suffix_trees, token_files, tokens, warc, workdir
+from leafweave.llm import collection_bwt, decontaminate, kd_shards, packing, pii, quality_rules, similar, simhash, suffix_trees, token_files, tokens, warc, workdir
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, start long, key string"
@@ -95,6 +95,41 @@ def test_simhash(table, empty, spark):
     assert {r.doc_id for r in simhash.representatives(table).collect()} == set(root.values())
 
 
+def test_pipeline_near_copies(spark, table, empty):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    docs = []
+    for i in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(120, 400))]
+        docs.append((10 * i, " ".join(words)))
+        for k in range(1, 5):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) * k // 100)):
+                copy[at] = rng.choice(vocabulary)
+            docs.append((10 * i + k, " ".join(copy)))
+    docs += [(9000, "X " + docs[0][1].upper()), (9001, None), (9002, ""), (9003, "two words"), (9003, docs[7][1]), (None, docs[0][1])]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [(i, grams(t)) for i, t in docs if i is not None]
+    root = [i for i, _ in sets]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if (not sets[a][1] and not sets[b][1]) or len(sets[a][1] & sets[b][1]) >= 0.8 * max(1, len(sets[a][1] | sets[b][1]))]
+    assert len(near) > 80
+    for _ in range(12):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.component_id) for r in similar.near_duplicates(frame).collect() if r.doc_id is not None)
+    assert got == sorted((i, r) for (i, _), r in zip(sets, root))
+    gone = {i for (i, _), r in zip(sets, root) if i != r}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == {i for i, _ in docs} - gone
+    assert similar.near_duplicates(empty).count() == 0
+
+
 def test_links_split_alike():
     random.seed(1)
     values = list({c ^ sum(1 << random.randrange(64) for _ in range(random.randint(0, 2))) for c in [random.getrandbits(64) for _ in range(10)] for _ in range(15)})
