@@ -6,13 +6,18 @@ a few edits apart give walks that differ in few steps.  Here symbols are words,
 lower-cased, without punctuation at their ends.  A hash key samples some steps
 of a walk, in each of several repeats with bits and samples of their own.
 Walks start at every word of a document and at every word of an item, so an
-edit spoils the walks that cross it and no others.  A document window as long
-as the item, where a key agrees, is then verified: the item's least edit
-distance, in characters, to any part of the window must be small enough.
+edit spoils the walks that cross it and no others.  One typo spoils a whole
+word, so walks miss passages with scattered typos and have none for the
+shortest items; every item is therefore also searched by byte grams, of which
+simulated copies at the least similarity keep a known number whole.  A
+document window that reaches past the item by what edits can add is then
+verified: the item's least edit distance, in characters, to any part of the
+window must be small enough.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,14 +32,17 @@ from leafweave.llm import textkit as tk
 SIMILARITY = 0.8
 #: Steps of a walk, and of these the number that a key samples.
 STEPS, SAMPLE = 20, 8
-#: Chance that a passage at the least similarity meets a key (see repeats_for).
+#: Recall that repeats_for aims at for replaced words; typos are left to the grams.
 RECALL = 0.99
 #: Items whose keys are held by a task at once; more items are taken in blocks, a pass over the documents each.
 BLOCK_ITEMS = 50_000
-#: Words that a window reaches beyond the aligned item on either side.
-SLACK = 8
-#: Items of fewer words have no walk; they are searched as they are.
-MIN_WORDS = 14
+#: Gram lengths in bytes; an item is searched by the first that leaves LEAST_GRAMS grams whole, else by the last.
+GRAMS = (8, 7, 6, 5, 4, 3, 2)
+LEAST_GRAMS = 4
+#: Before the edit distance, so many grams of this length must occur in the window, by the same simulation.
+WINDOW_GRAM = 5
+#: Share of simulated copies at the least similarity that may keep fewer grams than are asked for.
+RECALL_LOSS = 0.005
 #: Words that a walk must have moved on by its last sample; a walk that stays among fewer says too little.
 LEAST_MOVE = 6
 
@@ -48,7 +56,7 @@ def repeats_for(recall: float = RECALL, similarity: float = SIMILARITY, words: i
     """Repeats after which a passage of that many words is missed by less than 1 - recall.
 
     One walk reads about SAMPLE different words; each is unedited with the
-    similarity as its chance.  Starts a walk apart are taken as independent.
+    similarity as its chance, which holds for replaced words and not for typos.  Starts a walk apart are taken as independent.
     """
     one = similarity**SAMPLE
     starts = max(1, words - SAMPLE)
@@ -68,6 +76,14 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, s, e, before
 
 
+def _joined(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the words with one space after each but the last, where each begins; its last value is one past the text)."""
+    begins = np.concatenate([[0], np.cumsum(e - s + 1)])
+    text = np.full(int(begins[-1]), 0x20, dtype=np.uint8)
+    text[tk.spread(begins[:-1], e - s)] = data[tk.spread(s, e - s)]
+    return text[:-1], begins
+
+
 class Walks:
     """Keys of all walks of one repeat."""
 
@@ -104,10 +120,96 @@ class Walks:
         return partial, start[ok], key[ok]
 
 
+@functools.cache
+def intact_grams(length: int, similarity: float = SIMILARITY, trials: int = 1000) -> tuple[int, ...]:
+    """By gram length up to 8: grams of an item of that length that stay whole in all but RECALL_LOSS of simulated copies at the least similarity."""
+    edits, rng = int((1 - similarity) * length + 1e-9), np.random.default_rng(length)
+    total = np.zeros((trials, length + 1), dtype=np.int32)
+    np.cumsum(rng.random((trials, length)).argsort(axis=1) < edits, axis=1, out=total[:, 1:])
+    least = [0]
+    for gram in range(1, max(GRAMS) + 1):
+        whole = (total[:, gram:] == total[:, : max(length - gram + 1, 0)]).sum(axis=1) if gram <= length else np.zeros(trials)
+        least.append(int(np.sort(whole)[int(trials * RECALL_LOSS)]))
+    return tuple(least)
+
+
+class Grams:
+    """Grams of those items of a block that are searched by one gram length.
+
+    A copy with few edits keeps some grams whole, on diagonals (place less
+    offset in the item) that drift by no more than the edits.  Two neighbouring
+    bins of diagonals as wide as the edits allow hold all of them.
+    """
+
+    def __init__(self, gram: int, items: list[int], texts: list[np.ndarray], need: list[int], similarity: float) -> None:
+        self.gram = gram
+        self.need = np.array(need, dtype=np.int64)
+        self.number = np.array(items, dtype=np.int64)
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.width = np.maximum(8, np.ceil((1 - similarity) * size).astype(np.int64))
+        grams = [self.keys(t) for t in texts]
+        key = np.concatenate(grams)
+        order = np.argsort(key, kind="stable")
+        item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        offset = np.concatenate([np.arange(len(g)) for g in grams])
+        self.item, self.offset = item[order], offset[order]
+        self.unique, first, self.count = np.unique(key[order], return_index=True, return_counts=True)
+        self.first = first
+        self.have = np.zeros(1 << 22, dtype=bool)
+        self.have[self._slot(self.unique)] = True
+
+    def keys(self, data: np.ndarray) -> np.ndarray:
+        """All grams, as integers."""
+        n = len(data) - self.gram + 1
+        out = np.zeros(max(n, 0), dtype=np.uint64)
+        for k in range(self.gram if n > 0 else 0):
+            out <<= tk.U64(8)
+            out |= data[k : k + n]
+        return out
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys * tk.U64(0x9E3779B97F4A7C15)) >> tk.U64(42)).astype(np.int64)
+
+    def candidates(self, text: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item number, least and largest place at which the item would start)."""
+        keys = self.keys(text)
+        at = np.flatnonzero(self.have[self._slot(keys)])
+        slot = np.minimum(np.searchsorted(self.unique, keys[at]), len(self.unique) - 1)
+        ok = self.unique[slot] == keys[at]
+        at, slot = at[ok], slot[ok]
+        hit = tk.spread(self.first[slot], self.count[slot])
+        item, place = self.item[hit], np.repeat(at, self.count[slot])
+        row = np.searchsorted(limits, place, side="right") - 1
+        span = len(text) // 8 + 1024 * 1024
+        bin_ = (place - self.offset[hit]) // self.width[item] + 1024 * 512
+        key, count = np.unique((row * len(self.number) + item) * span + bin_, return_counts=True)
+        both = count.copy()
+        both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+        before = np.append(True, key[1:] != key[:-1] + 1)
+        # a bin alone is tried by itself only if no bin before it counts it too
+        which = key // span
+        item = which % len(self.number)
+        lone = before | (both > count)
+        ok = (both >= self.need[item]) & (lone | (count >= self.need[item]))
+        for k in np.flatnonzero(ok).tolist():
+            i, low = int(item[k]), (int(key[k] % span) - 1024 * 512) * int(self.width[item[k]])
+            yield int(which[k] // len(self.number)), int(self.number[i]), low, low + 2 * int(self.width[i])
+
+
+def _slots(data: np.ndarray) -> np.ndarray:
+    """16-bit hashes of all grams of WINDOW_GRAM bytes."""
+    n = max(len(data) - WINDOW_GRAM + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(WINDOW_GRAM):
+        out = out * tk.U64(256) + data[k : k + n]
+    return ((out * tk.U64(0x9E3779B97F4A7C15)) >> tk.U64(48)).astype(np.int64)
+
+
 class Index:
     """Keys of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], repeats: int, similarity: float = SIMILARITY) -> None:
         self.ids = [i for i, _ in items]
         texts = [(t or "").encode("utf-8") for _, t in items]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -122,7 +224,23 @@ class Index:
             partial, start, key = walk.run(hashes, before)
             order = np.argsort(key, kind="stable")
             self.repeats.append((walk, [np.unique(p) for p in partial], key[order], item[start[order]], (start - before[item[start]])[order]))
-        self.short = {i: [h for h in hashes[before[i] : before[i + 1]]] for i in range(len(items)) if 0 < self.size[i] < MIN_WORDS}
+        self.reach = [math.ceil((1 - similarity) * len(t)) for t in self.norm]
+        self.grams = []
+        lowered = _LOWER[data]
+        own = [_joined(lowered, s[i:j], e[i:j])[0] for i, j in zip(before[:-1], before[1:], strict=True)]
+        least = {m: intact_grams(m, similarity)[WINDOW_GRAM] for m in {len(t) for t in own}}
+        self.slots, self.slots_needed = [_slots(t) for t in own], [least[len(t)] for t in own]
+        chosen: dict[int, list[tuple[int, int]]] = {}
+        need: dict[int, tuple[int, int]] = {}
+        for i, t in enumerate(own):
+            if len(t):
+                if len(t) not in need:
+                    options = [(g, intact_grams(len(t), similarity)[g]) for g in GRAMS if g <= len(t)] or [(len(t), 1)]
+                    need[len(t)] = next((o for o in options if o[1] >= LEAST_GRAMS), (options[-1][0], max(1, options[-1][1])))
+                g, n = need[len(t)]
+                chosen.setdefault(g, []).append((i, n))
+        for g, which in sorted(chosen.items()):
+            self.grams.append(Grams(g, [i for i, _ in which], [own[i] for i, _ in which], [n for _, n in which], similarity))
 
     def candidates(self, hashes: np.ndarray, limits: np.ndarray) -> set[tuple[int, int]]:
         """(word at which the item would start, item number)."""
@@ -134,11 +252,6 @@ class Index:
             lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
             at = tk.spread(lo, hi - lo)
             found.update(zip((np.repeat(start, hi - lo) - offset[at]).tolist(), item[at].tolist(), strict=True))
-        for i, own in self.short.items():
-            at = np.flatnonzero(hashes[: max(0, len(hashes) - len(own) + 1)] == own[0])
-            for k, h in enumerate(own[1:], 1):
-                at = at[hashes[at + k] == h]
-            found.update((int(a), i) for a in at)
         return found
 
 
@@ -182,23 +295,41 @@ def hits(index: Index, texts: pa.Array, similarity: float = SIMILARITY) -> list[
         hashes, s, e, before = _words(own, offs)
         if not len(hashes):
             continue
+        joined, begins = _joined(_LOWER[own], s, e)
+        limits = begins[before]
+        slots, marked = _slots(joined), np.zeros(1 << 16, dtype=bool)
         tried: set[tuple[int, int, int]] = set()
-        for start, i in sorted(index.candidates(hashes, before)):
-            size = int(index.size[i])
-            middle = min(max(start + size // 2, 0), len(hashes) - 1)
-            row = int(np.searchsorted(before, middle, side="right")) - 1
-            if (row, i, start // 2) in tried:
+        places = []
+        for start, i in index.candidates(hashes, before):
+            row = int(np.searchsorted(before, min(max(start + int(index.size[i]) // 2, 0), len(hashes) - 1), side="right")) - 1
+            place = int(begins[min(max(start, int(before[row])), len(hashes) - 1)])
+            places.append((row, i, place, place))
+        for grams in index.grams:
+            places += grams.candidates(joined, limits)
+        for row, i, low, high in sorted(places):
+            size, reach = len(index.norm[i].encode("utf-8")), 2 * index.reach[i]  # a character takes several bytes
+            if (row, i, low // max(8, reach // 4)) in tried or best.get((lo + row, i), (0, 0, 1))[2] == 0:
                 continue
-            tried.add((row, i, start // 2))
-            a, b = max(start - SLACK, int(before[row])), min(start + size + SLACK, int(before[row + 1]))
+            tried.add((row, i, low // max(8, reach // 4)))
+            a, b = max(low - reach, int(limits[row])), min(high + size + reach, int(limits[row + 1]) - 1)
             if a >= b:
                 continue
-            window = " ".join(own[x:y].tobytes().decode("utf-8", "replace").lower() for x, y in zip(s[a:b], e[a:b], strict=True))
-            d, _ = edit_distance(index.norm[i], window)
+            a = int(begins[np.searchsorted(begins, a, side="right") - 1])
+            marked[inside := slots[a : max(b + reach, a)]] = True
+            met = int(np.count_nonzero(marked[index.slots[i]]))
+            marked[inside] = False
+            if met < index.slots_needed[i]:
+                continue
+            first, last = np.searchsorted(begins, [a, b])
+            last = min(int(last), int(before[row + 1]))
+            window = " ".join(own[x:y].tobytes().decode("utf-8", "replace").lower() for x, y in zip(s[first:last], e[first:last], strict=True))
+            d, end = edit_distance(index.norm[i], window)
             share = 1 - d / len(index.norm[i])
             known = best.get((lo + row, i))
             if share >= similarity and (known is None or d < known[2]):
-                best[lo + row, i] = (lo + row, index.ids[i], d, share, max(start - int(before[row]), 0), size)
+                length = edit_distance(index.norm[i][::-1], window[:end][::-1])[1]
+                word = int(first) - int(before[row]) + window[: end - length].count(" ")
+                best[lo + row, i] = (lo + row, index.ids[i], d, share, word, int(index.size[i]))
     return [best[k] for k in sorted(best)]
 
 
@@ -222,10 +353,10 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     found = None
     repeats = repeats_for(similarity=similarity)
     for block in blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Index(block, repeats, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, repeats)
+            index = shared.value
             for batch in batches:
                 if out := hits(index, batch.column(1), similarity):
                     row, item, d, share, first, size = zip(*out, strict=True)
@@ -241,10 +372,10 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, tex
     spark, out = docs.sparkSession, docs
     repeats = repeats_for(similarity=similarity)
     for block in blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Index(block, repeats, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, repeats)
+            index = shared.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[[h[0] for h in hits(index, batch.column(batch.schema.get_field_index(text_col)), similarity)]] = False

@@ -238,6 +238,30 @@ def test_decontaminate(spark, table, empty):
     assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.clean(table, items).count() == table.count()
 
 
+def found_share(size, change, n=40, vocabulary=3000):
+    """Share of items found in texts that hold a changed copy of them."""
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(vocabulary)]
+    prose = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    items = [(i, prose(size)) for i in range(n)]
+    texts = [f"{prose(60)} {change(t, rng)} {prose(60)}" for _, t in items]
+    got = decontaminate.hits(decontaminate.Index(items, decontaminate.repeats_for()), decontaminate.pa.array(texts))
+    return sum(row == item for row, item, *_ in got) / n
+
+
+@pytest.mark.parametrize("size", [15, 20, 30, 60])
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.195])
+def test_decontaminate_typos(size, share):
+    def typos(text, rng):
+        out = list(text)
+        for k in rng.sample(range(len(out)), int(share * len(out))):
+            out[k] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return "".join(out)
+
+    assert found_share(size, typos) >= 0.95
+
+
 def test_shards(table, empty):
     got = kd_shards.shard(table, shards=4).collect()
     assert len(got) == table.count()
