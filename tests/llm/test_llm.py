@@ -262,6 +262,16 @@ def test_decontaminate_typos(size, share):
     assert found_share(size, typos) >= 0.95
 
 
+@pytest.mark.parametrize("size, more", [(55, 9), (100, 16), (150, 25)])
+def test_decontaminate_insertion(size, more):
+    def longer(text, rng):
+        words, half = text.split(), size // 2
+        out = " ".join([*words[:half], *rng.sample(words, more), *words[half:]])
+        return out if len(out) - len(text) <= 0.2 * len(text) else text
+
+    assert found_share(size, longer, 12) == 1
+
+
 def test_shards(table, empty):
     got = kd_shards.shard(table, shards=4).collect()
     assert len(got) == table.count()
