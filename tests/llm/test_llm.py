@@ -272,6 +272,16 @@ def test_decontaminate_insertion(size, more):
     assert found_share(size, longer, 12) == 1
 
 
+@pytest.mark.parametrize("size", [5, 8, 10, 12])
+def test_decontaminate_short(size):
+    def replaced(text, rng):
+        words = text.split()
+        words[rng.choice([k for k, w in enumerate(words) if len(w) <= 0.2 * len(text)] or [0])] = "zq"
+        return " ".join(words)
+
+    assert found_share(size, replaced, 150) >= 0.97
+
+
 def test_shards(table, empty):
     got = kd_shards.shard(table, shards=4).collect()
     assert len(got) == table.count()
