@@ -1,18 +1,22 @@
 """Benchmark decontamination by edit distance.
 
-The CGK embedding walks along a sequence and, step by step, emits the current
-symbol and moves on or stays, as a random bit of (step, symbol) says; sequences
-a few edits apart give walks that differ in few steps.  Here symbols are words,
-lower-cased, without punctuation at their ends.  A hash key samples some steps
-of a walk, in each of several repeats with bits and samples of their own.
-Walks start at every word of a document and at every word of an item, so an
-edit spoils the walks that cross it and no others.  One typo spoils a whole
-word, so walks miss passages with scattered typos and have none for the
-shortest items; every item is therefore also searched by byte grams, of which
-simulated copies at the least similarity keep a known number whole.  A
-document window that reaches past the item by what edits can add is then
-verified: the item's least edit distance, in characters, to any part of the
-window must be small enough.
+The CGK embedding walks along a string and, step by step, emits the symbol it
+stands on and then moves on or stays, as a random bit of (step, symbol) says;
+two strings a few edits apart give walks that differ in few steps, so edit
+distance becomes Hamming distance.  Symbols are the bytes of lower-cased words
+without outer punctuation, joined by one blank.  The walk is begun anew at
+every byte of an item and of a document, so an edit spoils the walks that cross
+it and no others, and a window's embedding needs no walk of its own for each
+window that it lies in.
+
+A hash key samples some steps of a walk.  Every repeat has bits and samples of
+its own.  Equal keys vote for the window of the item's size that they imply:
+the walk's place in the document less its offset in the item, give or take the
+edits allowed.  How long the sampled walks are, and how many votes a window
+needs, follows from simulated copies at the least similarity: the longest walks
+that reach the target recall.  A window with the votes is verified: the item's
+least edit distance, in characters, to any part of the window and what edits
+can add around it must be small enough.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,229 +35,244 @@ from leafweave.llm import textkit as tk
 
 #: Least share of an item's characters that needn't be edited.
 SIMILARITY = 0.8
-#: Steps of a walk, and of these the number that a key samples.
-STEPS, SAMPLE = 20, 8
-#: Recall that repeats_for aims at for replaced words; typos are left to the grams.
-RECALL = 0.99
-#: Items whose keys are held by a task at once; more items are taken in blocks, a pass over the documents each.
-BLOCK_ITEMS = 50_000
-#: Gram lengths in bytes; an item is searched by the first that leaves LEAST_GRAMS grams whole, else by the last.
-GRAMS = (8, 7, 6, 5, 4, 3, 2)
-LEAST_GRAMS = 4
-#: Before the edit distance, so many grams of this length must occur in the window, by the same simulation.
-WINDOW_GRAM = 5
-#: Share of simulated copies at the least similarity that may keep fewer grams than are asked for.
-RECALL_LOSS = 0.005
-#: Words that a walk must have moved on by its last sample; a walk that stays among fewer says too little.
-LEAST_MOVE = 6
+#: Share of copies at the least similarity, simulated, whose window must get its votes.
+RECALL = 0.98
+#: Hash repeats, each with bits and samples of its own.
+REPEATS = 2
+#: Steps of the walks that a key may read; an item is searched by the longest that reach the recall.
+STEPS = (1, 2, 3, 4, 6, 8, 11, 14, 18)
+#: Chance that a walk moves on, and share of its steps that a key samples.
+MOVE, SAMPLED = 0.75, 0.75
+#: Walks are taken so long that a window still needs so many votes.
+LEAST_VOTES = 4
+#: Simulated copies of each length; lengths on a grid of this ratio, up to the longest.
+TRIALS, GRID, LONGEST = 200, 1.2, 300
+#: Before the edit distance, so many grams of that many bytes must occur in the window as all but this share of such copies keep.
+GRAM, GRAM_LOSS = 5, 0.005
+#: Bytes of item text that a task holds at once; more items are taken in blocks, a pass over the documents each.
+BLOCK_BYTES = 16 << 20
+#: Bytes of text that are walked over at once.
+SLICE = 1 << 17
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+_ODD = np.uint32(0x9E3779B1)
 
 
-def repeats_for(recall: float = RECALL, similarity: float = SIMILARITY, words: int = 15) -> int:
-    """Repeats after which a passage of that many words is missed by less than 1 - recall.
-
-    One walk reads about SAMPLE different words; each is unedited with the
-    similarity as its chance, which holds for replaced words and not for typos.  Starts a walk apart are taken as independent.
-    """
-    one = similarity**SAMPLE
-    starts = max(1, words - SAMPLE)
-    return max(1, math.ceil(math.log(1 - recall) / (starts * math.log(1 - one))))
-
-
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, starts, ends, words before each row) of lower-cased text without outer punctuation."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, words before each row) without outer punctuation; a word of punctuation only stays."""
     starts, ends, before = tk.words(data, offsets)
-    s, e = starts.copy(), ends.copy()
-    for _ in range(4):
-        trim = (e - s > 1) & _PUNCT[data[e - 1]] if len(e) else np.zeros(0, dtype=bool)
-        e = e - trim
-        trim = (e - s > 1) & _PUNCT[data[s]] if len(e) else trim
-        s = s + trim
-    hashes = tk.Prefix.of_bytes(_LOWER[data]).hash(s, np.minimum(e, s + tk.Prefix.LONGEST))
-    return hashes, s, e, before
+    if not len(starts):
+        return starts, ends, before
+    plain = ~_PUNCT[data]
+    at = np.arange(len(data))
+    first = np.minimum.accumulate(np.where(plain, at, len(data))[::-1])[::-1][starts]
+    last = np.maximum.accumulate(np.where(plain, at, -1))[ends - 1] + 1
+    bare = first >= ends
+    return np.where(bare, starts, first), np.where(bare, ends, last), before
 
 
 def _joined(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the words with one space after each but the last, where each begins; its last value is one past the text)."""
+    """(the words with one space after each, where each begins; its last value is the text's length)."""
     begins = np.concatenate([[0], np.cumsum(e - s + 1)])
     text = np.full(int(begins[-1]), 0x20, dtype=np.uint8)
     text[tk.spread(begins[:-1], e - s)] = data[tk.spread(s, e - s)]
-    return text[:-1], begins
+    return text, begins
+
+
+def _lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(pc.fill_null(texts, ""))
 
 
 class Walks:
-    """Keys of all walks of one repeat."""
+    """Keys of the walks of one repeat from every byte of a text.
+
+    A walk of n steps is the end of a walk of more, so all lengths come from
+    one pass: from the last step to the first, the key at a byte is the key one
+    step later at that byte or the next, whichever the bit says, joined by the
+    byte itself if the step is sampled.
+    """
 
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.salt = rng.integers(0, 1 << 63, STEPS, dtype=np.uint64)
-        self.sampled = {0, *rng.choice(np.arange(1, STEPS), SAMPLE - 1, replace=False).tolist()}
-        self.last = max(self.sampled)
-
-    def run(self, hashes: np.ndarray, limits: np.ndarray, allowed: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """(partial keys after each sample, starts that are left, their keys).
-
-        ``allowed`` are sorted partial keys; a walk without one is dropped at once.
-        """
-        at = start = np.arange(len(hashes))
-        stop = limits[np.searchsorted(limits, at, side="right")] if len(at) else at
-        key = np.zeros(len(at), dtype=np.uint64)
-        partial = []
-        for j in range(self.last + 1):
-            symbol = hashes[at]
-            if j in self.sampled:
-                key = tk.mix(key * tk.U64(5) + symbol + tk.U64(j))
-                if allowed is not None:
-                    have = allowed[len(partial)]
-                    slot = np.minimum(np.searchsorted(have, key), len(have) - 1)
-                    ok = have[slot] == key
-                    at, start, stop, key, symbol = at[ok], start[ok], stop[ok], key[ok], symbol[ok]
-                partial.append(key)
-            if j < self.last:
-                at = at + (tk.mix(symbol ^ self.salt[j]) >> tk.U64(63)).astype(np.int64)
-                ok = at < stop
-                at, start, stop, key = at[ok], start[ok], stop[ok], key[ok]
-        ok = at - start >= LEAST_MOVE
-        return partial, start[ok], key[ok]
+        move = rng.random((max(STEPS), 256)) < MOVE
+        #: By symbol, bit j is set if the walk moves on from it in the j-th step from the end.
+        self.move = (move << np.arange(max(STEPS))[:, None]).sum(axis=0).astype(np.uint32)
+        self.sampled = rng.random(max(STEPS)) < SAMPLED
+        self.sampled[-4:] = self.sampled[[-n for n in STEPS]] = True
+        self.salt = int(rng.integers(1, 1 << 31))
+
+    def keys(self, text: np.ndarray, steps: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of steps, key at each byte); walks run on past the text's end over one same symbol."""
+        n, symbol, move = len(text), text.astype(np.uint32) + np.uint32(self.salt), self.move[text]
+        key = np.zeros(n + 1, dtype=np.uint32)
+        for j in range(1, max(steps, default=0) + 1):
+            moves = np.uint32(0) - ((move >> np.uint32(j - 1)) & np.uint32(1))  # all bits, or none
+            here = key[:-1] ^ ((key[1:] ^ key[:-1]) & moves)
+            if self.sampled[-j]:
+                here *= _ODD
+                here += symbol
+            key[:n] = here
+            if j in steps:
+                yield j, here
+
+    def reach(self, text: np.ndarray, steps: set[int]) -> dict[int, np.ndarray]:
+        """The last byte that each walk reads, by number of steps."""
+        n, out = len(text), {}
+        for j in range(1, max(steps, default=0) + 1):
+            at = np.arange(n)
+            if j > 1:
+                at = np.where(self.move[text] >> np.uint32(j - 1) & np.uint32(1), last[at + 1], last[at])
+            last = np.append(at, n)
+            out[j] = at
+        return {j: out[j] for j in steps}
+
+
+def _edited(rng: np.random.Generator, text: np.ndarray, edits: int, kinds: int) -> np.ndarray:
+    """A copy with that many edits at random places: replaced bytes only (one kind), or bytes inserted and removed too (three)."""
+    kind = rng.integers(0, kinds, edits)
+    out = text.copy()
+    n = int((kind == 0).sum())
+    out[rng.choice(len(out), n, replace=False)] = rng.integers(97, 121, n)
+    out = np.delete(out, rng.choice(len(out), min(len(out) - 1, int((kind == 1).sum())), replace=False))
+    return np.insert(out, rng.integers(0, len(out) + 1, int((kind == 2).sum())), rng.integers(97, 121, int((kind == 2).sum())))
+
+
+def _width(size, similarity: float):
+    """Diagonals of a bin: two neighbouring bins hold all that the edits allowed can lead to."""
+    return np.maximum(8, np.ceil((1 - similarity) * np.asarray(size))).astype(np.int64)
 
 
 @functools.cache
-def intact_grams(length: int, similarity: float = SIMILARITY, trials: int = 1000) -> tuple[int, ...]:
-    """By gram length up to 8: grams of an item of that length that stay whole in all but RECALL_LOSS of simulated copies at the least similarity."""
+def votes_needed(length: int, similarity: float = SIMILARITY, recall: float = RECALL, repeats: int = REPEATS) -> tuple[int, int]:
+    """(steps, votes) for items of that many bytes, from simulated copies with as many edits as the similarity allows."""
     edits, rng = int((1 - similarity) * length + 1e-9), np.random.default_rng(length)
-    total = np.zeros((trials, length + 1), dtype=np.int32)
-    np.cumsum(rng.random((trials, length)).argsort(axis=1) < edits, axis=1, out=total[:, 1:])
-    least = [0]
-    for gram in range(1, max(GRAMS) + 1):
-        whole = (total[:, gram:] == total[:, : max(length - gram + 1, 0)]).sum(axis=1) if gram <= length else np.zeros(trials)
-        least.append(int(np.sort(whole)[int(trials * RECALL_LOSS)]))
-    return tuple(least)
+    width = int(_width(length, similarity))
+    items = rng.integers(97, 121, (TRIALS, length)).astype(np.uint8)
+    items[rng.random(items.shape) < 1 / 6] = 0x20
+    copies = [_edited(rng, x, edits, 1 + 2 * (i % 2)) for i, x in enumerate(items)]
+    gap = np.zeros(max(STEPS) + 1, dtype=np.uint8)
+    one, two = (np.concatenate([y for x in rows for y in (x, gap)]) for rows in (items, copies))
+    begin = [np.cumsum([0] + [len(x) + len(gap) for x in rows])[:-1] for rows in (items, copies)]
+    trial = [np.repeat(np.arange(TRIALS), [len(x) + len(gap) for x in rows]) for rows in (items, copies)]
+    offset = [np.arange(len(t)) - b[t] for t, b in zip(trial, begin, strict=True)]
+    shift = rng.integers(0, width, TRIALS)
+    votes: dict[int, list[np.ndarray]] = {}
+    for r in range(repeats):
+        walk, steps = Walks(r), {s for s in STEPS if s <= length}
+        inside = walk.reach(one, steps)
+        for (s, a), (_, b) in zip(walk.keys(one, steps), walk.keys(two, steps), strict=True):
+            ok = inside[s] - begin[0][trial[0]] < length
+            a, b = (k + (t.astype(np.uint64) << tk.U64(32)) for k, t in ((a, trial[0]), (b, trial[1])))
+            at = np.flatnonzero(ok)
+            at = at[np.argsort(a[at], kind="stable")]
+            lo, hi = np.searchsorted(a[at], b), np.searchsorted(a[at], b, side="right")
+            from_ = at[tk.spread(lo, hi - lo)]
+            to = np.repeat(np.arange(len(b)), hi - lo)
+            bin_ = (offset[1][to] - offset[0][from_] + length + shift[trial[1][to]]) // width
+            votes.setdefault(s, []).append(trial[1][to] * 64 + np.clip(bin_, 0, 62))
+    best = (1, 1)
+    for s, found in sorted(votes.items()):
+        count = np.bincount(np.concatenate(found), minlength=TRIALS * 64).reshape(TRIALS, 64)
+        most = np.sort((count[:, 1:] + count[:, :-1]).max(axis=1))[int(TRIALS * (1 - recall))]
+        if most >= LEAST_VOTES or (s == best[0] and most > 0) or (best == (1, 1) and most > 0):
+            best = (s, int(most))
+    return best
+
+
+def _on_grid(length: int) -> int:
+    """The largest length of the grid that isn't larger; short lengths stand for themselves."""
+    if length <= 24:
+        return length
+    return min(LONGEST, int(24 * GRID ** int(math.log(length / 24) / math.log(GRID) + 1e-9)))
 
 
-class Grams:
-    """Grams of those items of a block that are searched by one gram length.
-
-    A copy with few edits keeps some grams whole, on diagonals (place less
-    offset in the item) that drift by no more than the edits.  Two neighbouring
-    bins of diagonals as wide as the edits allow hold all of them.
-    """
+class Index:
+    """Keys of a block of items."""
 
-    def __init__(self, gram: int, items: list[int], texts: list[np.ndarray], need: list[int], similarity: float) -> None:
-        self.gram = gram
-        self.need = np.array(need, dtype=np.int64)
-        self.number = np.array(items, dtype=np.int64)
-        size = np.array([len(t) for t in texts], dtype=np.int64)
-        self.width = np.maximum(8, np.ceil((1 - similarity) * size).astype(np.int64))
-        grams = [self.keys(t) for t in texts]
-        key = np.concatenate(grams)
-        order = np.argsort(key, kind="stable")
-        item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        offset = np.concatenate([np.arange(len(g)) for g in grams])
-        self.item, self.offset = item[order], offset[order]
-        self.unique, first, self.count = np.unique(key[order], return_index=True, return_counts=True)
-        self.first = first
-        self.have = np.zeros(1 << 22, dtype=bool)
-        self.have[self._slot(self.unique)] = True
-
-    def keys(self, data: np.ndarray) -> np.ndarray:
-        """All grams, as integers."""
-        n = len(data) - self.gram + 1
-        out = np.zeros(max(n, 0), dtype=np.uint64)
-        for k in range(self.gram if n > 0 else 0):
-            out <<= tk.U64(8)
-            out |= data[k : k + n]
-        return out
-
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys * tk.U64(0x9E3779B97F4A7C15)) >> tk.U64(42)).astype(np.int64)
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, repeats: int = REPEATS) -> None:
+        self.ids = [i for i, _ in items]
+        data, offsets = tk.flat(_lowered(pa.array([t for _, t in items], pa.string())))
+        s, e, before = _words(data, offsets)
+        text, begins = _joined(data, s, e)
+        limits = begins[before]
+        self.norm = [text[a : max(a, b - 1)].tobytes().decode("utf-8") for a, b in zip(limits[:-1], limits[1:], strict=True)]
+        self.words = np.diff(before)
+        size = np.maximum(np.diff(limits) - 1, 0)
+        self.size, self.width = size, _width(size, similarity)
+        self.reach = np.ceil((1 - similarity) * size).astype(np.int64)
+        plan = {n: votes_needed(_on_grid(n), similarity, RECALL, repeats) for n in {int(x) for x in size} if n}
+        steps = np.array([plan[int(n)][0] if n else 0 for n in size], dtype=np.int64)
+        self.grams = [_grams(text[a : a + n]) for a, n in zip(limits[:-1], size, strict=True)]
+        self.grams_needed = [whole_grams(_on_grid(int(n)), similarity) for n in size]
+        self.need = np.array([plan[int(n)][1] if n else 0 for n in size], dtype=np.int64)
+        self.steps = {int(x) for x in steps if x}
+        row = np.searchsorted(limits, np.arange(len(text)), side="right") - 1
+        self.tables = []
+        for r in range(repeats):
+            walk, tables = Walks(r), {}
+            last = walk.reach(text, self.steps)
+            for n, key in walk.keys(text, self.steps):
+                at = np.flatnonzero((steps[row] == n) & (last[n] < limits[row] + size[row]))
+                order = at[np.argsort(key[at], kind="stable")]
+                unique, first, count = np.unique(key[order], return_index=True, return_counts=True)
+                have = np.zeros(1 << min(24, max(16, len(unique).bit_length() + 5)), dtype=bool)
+                have[_slot(unique, have)] = True
+                tables[n] = (unique, first, count, row[order], order - limits[row[order]], have)
+            self.tables.append((walk, tables))
 
     def candidates(self, text: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item number, least and largest place at which the item would start)."""
-        keys = self.keys(text)
-        at = np.flatnonzero(self.have[self._slot(keys)])
-        slot = np.minimum(np.searchsorted(self.unique, keys[at]), len(self.unique) - 1)
-        ok = self.unique[slot] == keys[at]
-        at, slot = at[ok], slot[ok]
-        hit = tk.spread(self.first[slot], self.count[slot])
-        item, place = self.item[hit], np.repeat(at, self.count[slot])
-        row = np.searchsorted(limits, place, side="right") - 1
-        span = len(text) // 8 + 1024 * 1024
-        bin_ = (place - self.offset[hit]) // self.width[item] + 1024 * 512
-        key, count = np.unique((row * len(self.number) + item) * span + bin_, return_counts=True)
-        both = count.copy()
-        both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-        before = np.append(True, key[1:] != key[:-1] + 1)
+        """(row, item number, least and largest place at which the item would start) of windows with their votes."""
+        span, zero, n = len(text) // 8 + (1 << 20), 1 << 19, len(self.ids)
+        cast = []
+        for walk, tables in self.tables:
+            for steps, key in walk.keys(text, self.steps):
+                unique, first, count, items, offsets, have = tables[steps]
+                at = np.flatnonzero(have[_slot(key, have)])
+                found = key[at]
+                slot = np.minimum(np.searchsorted(unique, found), len(unique) - 1)
+                ok = unique[slot] == found
+                at, slot = at[ok], slot[ok]
+                hit = tk.spread(first[slot], count[slot])
+                item, place = items[hit], np.repeat(at, count[slot])
+                row = np.searchsorted(limits, place, side="right") - 1
+                cast.append((row * n + item) * span + (place - offsets[hit]) // self.width[item] + zero)
+        if not cast:
+            return
+        window, votes = np.unique(np.concatenate(cast), return_counts=True)
+        both = votes.copy()
+        both[:-1] += np.where(window[1:] == window[:-1] + 1, votes[1:], 0)
+        follows = np.append(False, window[1:] == window[:-1] + 1) if len(window) else np.zeros(0, dtype=bool)
+        which = window // span
+        need = self.need[which % n]
         # a bin alone is tried by itself only if no bin before it counts it too
-        which = key // span
-        item = which % len(self.number)
-        lone = before | (both > count)
-        ok = (both >= self.need[item]) & (lone | (count >= self.need[item]))
-        for k in np.flatnonzero(ok).tolist():
-            i, low = int(item[k]), (int(key[k] % span) - 1024 * 512) * int(self.width[item[k]])
-            yield int(which[k] // len(self.number)), int(self.number[i]), low, low + 2 * int(self.width[i])
-
-
-def _slots(data: np.ndarray) -> np.ndarray:
-    """16-bit hashes of all grams of WINDOW_GRAM bytes."""
-    n = max(len(data) - WINDOW_GRAM + 1, 0)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(WINDOW_GRAM):
-        out = out * tk.U64(256) + data[k : k + n]
-    return ((out * tk.U64(0x9E3779B97F4A7C15)) >> tk.U64(48)).astype(np.int64)
+        for k in np.flatnonzero((both >= need) & (~follows | (both > votes) | (votes >= need))).tolist():
+            i = int(which[k] % n)
+            low = (int(window[k] % span) - zero) * int(self.width[i])
+            yield int(which[k] // n), i, low, low + 2 * int(self.width[i])
 
 
-class Index:
-    """Keys of a block of items."""
+def _slot(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The keys' places in a table of a power of two."""
+    return ((keys * _ODD) >> np.uint32(33 - len(table).bit_length())).astype(np.intp)
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int, similarity: float = SIMILARITY) -> None:
-        self.ids = [i for i, _ in items]
-        texts = [(t or "").encode("utf-8") for _, t in items]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        hashes, s, e, before = _words(data, offsets)
-        self.norm = [" ".join(data[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(s[i:j], e[i:j], strict=True)) for i, j in zip(before[:-1], before[1:], strict=True)]
-        self.size = np.diff(before)
-        item = np.repeat(np.arange(len(items)), self.size)
-        self.repeats = []
-        for r in range(repeats):
-            walk = Walks(r)
-            partial, start, key = walk.run(hashes, before)
-            order = np.argsort(key, kind="stable")
-            self.repeats.append((walk, [np.unique(p) for p in partial], key[order], item[start[order]], (start - before[item[start]])[order]))
-        self.reach = [math.ceil((1 - similarity) * len(t)) for t in self.norm]
-        self.grams = []
-        lowered = _LOWER[data]
-        own = [_joined(lowered, s[i:j], e[i:j])[0] for i, j in zip(before[:-1], before[1:], strict=True)]
-        least = {m: intact_grams(m, similarity)[WINDOW_GRAM] for m in {len(t) for t in own}}
-        self.slots, self.slots_needed = [_slots(t) for t in own], [least[len(t)] for t in own]
-        chosen: dict[int, list[tuple[int, int]]] = {}
-        need: dict[int, tuple[int, int]] = {}
-        for i, t in enumerate(own):
-            if len(t):
-                if len(t) not in need:
-                    options = [(g, intact_grams(len(t), similarity)[g]) for g in GRAMS if g <= len(t)] or [(len(t), 1)]
-                    need[len(t)] = next((o for o in options if o[1] >= LEAST_GRAMS), (options[-1][0], max(1, options[-1][1])))
-                g, n = need[len(t)]
-                chosen.setdefault(g, []).append((i, n))
-        for g, which in sorted(chosen.items()):
-            self.grams.append(Grams(g, [i for i, _ in which], [own[i] for i, _ in which], [n for _, n in which], similarity))
-
-    def candidates(self, hashes: np.ndarray, limits: np.ndarray) -> set[tuple[int, int]]:
-        """(word at which the item would start, item number)."""
-        found: set[tuple[int, int]] = set()
-        for walk, allowed, keys, item, offset in self.repeats:
-            if not len(keys):
-                continue
-            _, start, key = walk.run(hashes, limits, allowed)
-            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            at = tk.spread(lo, hi - lo)
-            found.update(zip((np.repeat(start, hi - lo) - offset[at]).tolist(), item[at].tolist(), strict=True))
-        return found
+
+@functools.cache
+def whole_grams(length: int, similarity: float = SIMILARITY) -> int:
+    """Grams of an item of that many bytes that stay whole in all but GRAM_LOSS of simulated copies at the least similarity."""
+    edits, rng = int((1 - similarity) * length + 1e-9), np.random.default_rng(length)
+    edited = np.zeros((1000, length + 1), dtype=np.int32)
+    np.cumsum(rng.random((1000, length)).argsort(axis=1) < edits, axis=1, out=edited[:, 1:])
+    whole = (edited[:, GRAM:] == edited[:, :-GRAM]).sum(axis=1) if length >= GRAM else np.zeros(1000)
+    return int(np.sort(whole)[int(1000 * GRAM_LOSS)])
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """16-bit hashes of all grams."""
+    out = np.zeros(max(len(data) - GRAM + 1, 0), dtype=np.uint64)
+    for k in range(GRAM):
+        out = out * tk.U64(256) + data[k : k + len(out)]
+    return ((out * tk.U64(0x9E3779B97F4A7C15)) >> tk.U64(48)).astype(np.int64)
 
 
 def edit_distance(item: str, window: str) -> tuple[int, int]:
@@ -288,57 +308,48 @@ HIT = "item_id long, distance long, similarity double, first_word long, n_words
 
 def hits(index: Index, texts: pa.Array, similarity: float = SIMILARITY) -> list[tuple]:
     """(row, item id, distance, similarity, first word, words) of each item found in each text, at its best place."""
-    data, offsets = tk.flat(texts)
+    data, offsets = tk.flat(_lowered(texts))
     best: dict[tuple[int, int], tuple] = {}
-    for lo, hi in tk.slices(offsets):
+    for lo, hi in tk.slices(offsets, SLICE):
         own, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        hashes, s, e, before = _words(own, offs)
-        if not len(hashes):
+        s, e, before = _words(own, offs)
+        if not len(s):
             continue
-        joined, begins = _joined(_LOWER[own], s, e)
+        joined, begins = _joined(own, s, e)
         limits = begins[before]
-        slots, marked = _slots(joined), np.zeros(1 << 16, dtype=bool)
-        tried: set[tuple[int, int, int]] = set()
-        places = []
-        for start, i in index.candidates(hashes, before):
-            row = int(np.searchsorted(before, min(max(start + int(index.size[i]) // 2, 0), len(hashes) - 1), side="right")) - 1
-            place = int(begins[min(max(start, int(before[row])), len(hashes) - 1)])
-            places.append((row, i, place, place))
-        for grams in index.grams:
-            places += grams.candidates(joined, limits)
-        for row, i, low, high in sorted(places):
-            size, reach = len(index.norm[i].encode("utf-8")), 2 * index.reach[i]  # a character takes several bytes
-            if (row, i, low // max(8, reach // 4)) in tried or best.get((lo + row, i), (0, 0, 1))[2] == 0:
-                continue
-            tried.add((row, i, low // max(8, reach // 4)))
+        grams, marked = _grams(joined), np.zeros(1 << 16, dtype=bool)
+        done: dict[tuple[int, int], int] = {}  # how far the text has been searched for the item
+        for row, i, low, high in sorted(index.candidates(joined, limits)):
+            size, reach = int(index.size[i]), int(index.reach[i])
             a, b = max(low - reach, int(limits[row])), min(high + size + reach, int(limits[row + 1]) - 1)
-            if a >= b:
+            # only a window that begins and ends within what was searched is known already
+            if a >= b or b <= done.get((row, i), -1) or best.get((lo + row, i), (0, 0, 1))[2] == 0:
                 continue
-            a = int(begins[np.searchsorted(begins, a, side="right") - 1])
-            marked[inside := slots[a : max(b + reach, a)]] = True
-            met = int(np.count_nonzero(marked[index.slots[i]]))
+            done[row, i] = b
+            first = int(np.searchsorted(begins, a, side="right")) - 1
+            marked[inside := grams[int(begins[first]) : max(b - GRAM + 1, 0)]] = True
+            met = int(np.count_nonzero(marked[index.grams[i]]))
             marked[inside] = False
-            if met < index.slots_needed[i]:
+            if met < index.grams_needed[i]:
                 continue
-            first, last = np.searchsorted(begins, [a, b])
-            last = min(int(last), int(before[row + 1]))
-            window = " ".join(own[x:y].tobytes().decode("utf-8", "replace").lower() for x, y in zip(s[first:last], e[first:last], strict=True))
+            last = min(int(np.searchsorted(begins, b)), int(before[row + 1]))
+            window = joined[begins[first] : begins[last] - 1].tobytes().decode("utf-8")
             d, end = edit_distance(index.norm[i], window)
             share = 1 - d / len(index.norm[i])
             known = best.get((lo + row, i))
             if share >= similarity and (known is None or d < known[2]):
                 length = edit_distance(index.norm[i][::-1], window[:end][::-1])[1]
-                word = int(first) - int(before[row]) + window[: end - length].count(" ")
-                best[lo + row, i] = (lo + row, index.ids[i], d, share, word, int(index.size[i]))
+                word = first - int(before[row]) + window[: end - length].count(" ")
+                best[lo + row, i] = (lo + row, index.ids[i], d, share, word, int(index.words[i]))
     return [best[k] for k in sorted(best)]
 
 
-def blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of about BLOCK_ITEMS, so that none is too large to send to every task."""
+def blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The items, in blocks of about that many bytes, so that none is too large to hold and to send to every task."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
-    n = max(1, math.ceil(rows.count() / BLOCK_ITEMS))
+    n = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / most))
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r[0], r[1]) for r in part.collect()]
 
 
@@ -346,14 +357,14 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     """One row for each document and item found in it: doc_id, item_id, distance, similarity, first_word, n_words.
 
     Null and empty texts contain nothing; items that are null, empty or
-    without a word are never found; repeated rows are found alike.
+    without a word are never found; repeated rows are found alike.  Of equally
+    good places the first counts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
-    repeats = repeats_for(similarity=similarity)
     for block in blocks(items):
-        shared = spark.sparkContext.broadcast(Index(block, repeats, similarity))
+        shared = spark.sparkContext.broadcast(Index(block, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -368,11 +379,14 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text contains no item; nothing is shuffled."""
+    """The rows of ``docs`` (all columns) whose text contains no item; nothing is shuffled.
+
+    Null and empty texts stay; items that are null, empty or without a word
+    remove nothing; repeated rows stay or go together.
+    """
     spark, out = docs.sparkSession, docs
-    repeats = repeats_for(similarity=similarity)
     for block in blocks(items):
-        shared = spark.sparkContext.broadcast(Index(block, repeats, similarity))
+        shared = spark.sparkContext.broadcast(Index(block, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
