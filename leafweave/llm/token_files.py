@@ -10,7 +10,9 @@ A data set is a folder with, for each partition k of ascending doc_id ranges,
 
 A reader maps both into memory.  The manifest (a DataFrame of one row a
 partition) adds the partition's base: the number of ids in all partitions
-before it, a prefix sum over as many rows as there are partitions.
+before it, a prefix sum over as many rows as there are partitions.  Documents
+without an id come first; the manifest has their number, and the index file
+a zero for each.
 """
 
 from __future__ import annotations
@@ -26,14 +28,15 @@ from pyspark.sql import functions as F
 from leafweave.llm import textkit as tk
 from leafweave.llm import tokens, workdir
 
-MANIFEST = "part long, path string, n_docs long, n_ids long, width int, base long, doc_base long"
+MANIFEST = "part long, path string, n_docs long, n_null long, n_ids long, width int, base long, doc_base long"
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text and writes the files; returns the manifest.
 
-    Null texts count as empty, so they hold the end id alone.  Rows that share
-    an id follow each other, ordered by text.  An empty table gives an empty
+    Null texts count as empty, so they hold the end id alone.  Null ids come
+    first and are read back as null.  Rows that share an id follow each other,
+    ordered by text; other columns aren't written.  An empty table gives an empty
     manifest.  A retried task writes the same bytes under a name of its own and
     renames it, so a lost executor leaves no half-written part.
     """
@@ -53,11 +56,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
         fs.create_dir(root, recursive=True)
         name = f"{root}/part-{part:06d}"
         mine = f"{name}.{context.taskAttemptId()}-{os.getpid()}"
-        ids_of, sizes = [], []
+        ids_of, sizes, n_null = [], [], 0
         with fs.open_output_stream(f"{mine}.bin") as out:
             for batch in batches:
                 data, offsets = tk.flat(batch.column(1))
                 ids_of.append(np.asarray(batch.column(0).fill_null(0)))
+                n_null += batch.column(0).null_count
                 for lo, hi in tk.slices(offsets):
                     ids, before = enc.encode_flat(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     ids = np.insert(ids, before[1:], end_id)  # after each row's own ids
@@ -73,13 +77,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, id_col
             out.write(offs.tobytes())
         for kind in ("bin", "idx"):
             fs.move(f"{mine}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [f"{folder}/part-{part:06d}"], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([int(offs[-1])], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [f"{folder}/part-{part:06d}"], "n_docs": pa.array([n], pa.int64()), "n_null": pa.array([n_null], pa.int64()), "n_ids": pa.array([int(offs[-1])], pa.int64()), "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
-    parts = rows.mapInArrow(run, "part long, path string, n_docs long, n_ids long, width int").collect()  # one row a partition
+    parts = rows.mapInArrow(run, "part long, path string, n_docs long, n_null long, n_ids long, width int").collect()  # one row a partition
     base = doc_base = 0
     manifest = []
     for r in sorted(parts, key=lambda r: r["part"]):
-        manifest.append((r["part"], r["path"], r["n_docs"], r["n_ids"], r["width"], base, doc_base))
+        manifest.append((r["part"], r["path"], r["n_docs"], r["n_null"], r["n_ids"], r["width"], base, doc_base))
         base, doc_base = base + r["n_ids"], doc_base + r["n_docs"]
     return spark.createDataFrame(manifest, MANIFEST)
 
@@ -98,6 +102,11 @@ def open_part(path: str, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarra
     return ids, index[:n_docs], index[n_docs:].view("<u8").astype(np.int64)
 
 
+def _ids(docs: np.ndarray, n_null: int, lo: int = 0) -> pa.Array:
+    """Document ids from the lo-th on, of which the part's first are null."""
+    return pa.array(np.array(docs), mask=np.arange(lo, lo + len(docs)) < n_null)
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """One row a document, from the files: its ids (array of long) and start."""
 
@@ -107,7 +116,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for lo in range(0, len(docs), 1000):
                 hi = min(lo + 1000, len(docs))
                 values = pa.array(ids[offs[lo] : offs[hi]].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi]), pa.array(r["base"] + offs[lo:hi]), pa.ListArray.from_arrays(pa.array((offs[lo : hi + 1] - offs[lo]).astype(np.int32)), values)], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([_ids(docs[lo:hi], r["n_null"], lo), pa.array(r["base"] + offs[lo:hi]), pa.ListArray.from_arrays(pa.array((offs[lo : hi + 1] - offs[lo]).astype(np.int32)), values)], ["doc_id", "start", "ids"])
 
     return _one_each(manifest).mapInArrow(run, "doc_id long, start long, ids array<long>")
 
@@ -119,7 +128,7 @@ def digests(manifest: DataFrame) -> DataFrame:
         for r in (r for b in batches for r in b.to_pylist()):
             ids, docs, offs = open_part(r["path"], r["n_docs"], r["width"])
             crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(docs)), pa.array(r["base"] + offs[:-1]), pa.array(np.diff(offs)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([_ids(docs, r["n_null"]), pa.array(r["base"] + offs[:-1]), pa.array(np.diff(offs)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return _one_each(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

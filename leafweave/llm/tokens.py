@@ -44,6 +44,10 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        #: As the file defines it, for texts with an added token such as an end mark.
+        self.plain = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.plain.get_added_tokens_decoder().values() if t.content]
+        #: For chunks of all other texts; chunks that are joined by chance must not form an added token.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
@@ -61,8 +65,20 @@ class Encoder:
         self.size = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=self.dtype)
 
-    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Chunk limits: 0, every sure cut, every row offset, the end."""
+    def _marked(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows with an added token, which the library cuts out before anything else."""
+        text, rows = data.tobytes(), set()
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    rows.add(row)
+                at = text.find(token, at + 1)
+        return np.array(sorted(rows), dtype=np.int64)
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Chunk limits: 0, every sure cut outside of the rows that stay whole, every row offset, the end."""
         n = len(data)
         edge = np.zeros(n + 1, dtype=bool)
         if n > 1:
@@ -73,6 +89,8 @@ class Encoder:
                 visible[1:] |= two
                 letter[1:] |= (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
             edge[1:n] = (tk.IS_SPACE[cur] & visible) | (_PUNCT[cur] & letter)
+        for row in whole.tolist():
+            edge[offsets[row] : offsets[row + 1]] = False
         edge[offsets] = True
         edge[0] = edge[n] = True
         return np.flatnonzero(edge)
@@ -82,9 +100,11 @@ class Encoder:
         rows = len(offsets) - 1
         if len(data) == 0:
             return np.zeros(0, dtype=self.dtype), np.zeros(rows + 1, dtype=np.int64)
-        cuts = self._cuts(data, offsets)
+        marked = self._marked(data, offsets)
+        cuts = self._cuts(data, offsets, marked)
         starts, ends = cuts[:-1], cuts[1:]
-        long_ = np.flatnonzero(ends - starts >= LONG_CHUNK)
+        whole = np.isin(starts, offsets[marked])
+        long_ = np.flatnonzero((ends - starts >= LONG_CHUNK) | whole)
         keys = tk.Prefix.of_bytes(data).hash(starts, ends)
         # a long chunk gets a key of its own below, from its place
         short = np.ones(len(starts), dtype=bool)
@@ -98,7 +118,7 @@ class Encoder:
         at[short], size[short] = self.at[slot][inverse], self.size[slot][inverse]
         source = self.ids
         if len(long_):
-            own = [np.array(self._encode(data[s:e].tobytes()), dtype=self.dtype) for s, e in zip(starts[long_], ends[long_], strict=True)]
+            own = [np.array((self.plain if w else self.tokenizer).encode(data[s:e].tobytes().decode("utf-8"), add_special_tokens=False).ids, dtype=self.dtype) for s, e, w in zip(starts[long_], ends[long_], whole[long_], strict=True)]
             size[long_] = [len(x) for x in own]
             at[long_] = len(source) + np.cumsum(size[long_]) - size[long_]
             source = np.concatenate([source, *own])

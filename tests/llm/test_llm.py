@@ -2,10 +2,12 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafweave.llm import collection_bwt, decontaminate, kd_shards, packing, pii, quality_rules, similar, simhash, suffix_trees, token_files, tokens, warc, workdir
 
@@ -151,28 +153,114 @@ def test_links_split_alike():
     assert roots(near) == roots(simhash.links(values)) == roots(simhash.links(values, limit=5))
 
 
-def test_tokens_files_and_packing(table, empty, spark):
+def plain_ids(text):
+    """Ids by the library alone, with the end id."""
+    from tokenizers import Tokenizer
+
+    if not hasattr(plain_ids, "tokenizer"):
+        plain_ids.tokenizer = Tokenizer.from_file(tokens.default_vocabulary())
+    return [*plain_ids.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def with_nulls(spark, table):
+    """The table with two rows without an id, a repeated row, a long text and columns that operators use themselves."""
+    more = [(None, "no id", "en", "s0", 1, "k"), (None, None, None, None, None, None), (7, "x", "en", "s1", 2, "k"), (7, "x", "en", "s1", 2, "k"), (900, "word " * 40_000, "en", "s1", 3, "k"), (901, "end <|endoftext|> mark<|endoftext|>", "en", "s1", 3, "k")]
+    return table.unionByName(spark.createDataFrame(more, SCHEMA)), [(i, t) for i, t, *_ in rows()] + [(i, t) for i, t, *_ in more]
+
+
+def test_token_files(spark, table, empty):
     vocabulary = tokens.default_vocabulary()
-    plain = tokens.Encoder(vocabulary).tokenizer
-    ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for i, t, *_ in rows()}
-    got = token_files.read(token_files.write(table, workdir.new_folder(spark, "t"), vocabulary)).orderBy("doc_id").collect()
-    assert [(r.doc_id, list(r.ids)) for r in got] == sorted(ids.items())
-    assert [r.start for r in got] == np.cumsum([0, *[len(ids[i]) for i in sorted(ids)]])[:-1].tolist()
+    docs, plain = with_nulls(spark, table)
+    order = sorted(plain, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = [(i, plain_ids(t)) for i, t in order]
+    starts = np.cumsum([0, *[len(x) for _, x in want]])[:-1].tolist()
+    manifest = token_files.write(docs, workdir.new_folder(spark, "t"), vocabulary)
+    got = token_files.read(manifest).orderBy("start").collect()
+    assert [(r.doc_id, list(r.ids)) for r in got] == want and [r.start for r in got] == starts
+    digests = token_files.digests(manifest).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in digests] == [(i, s, len(x), crc(x)) for (i, x), s in zip(want, starts)]
+    part = manifest.first()
+    ids, own, offsets = token_files.open_part(part["path"], part["n_docs"], part["width"])
+    assert isinstance(ids, np.memmap) and offsets[-1] == part["n_ids"] == len(ids) and len(own) == part["n_docs"]
     assert token_files.write(empty, workdir.new_folder(spark, "t"), vocabulary).count() == 0
-    packed = packing.pack(workdir.cut(packing.pieces(table, vocabulary, sequence=64)), sequence=64).collect()
-    assert sum(r.length for r in packed) == sum(map(len, ids.values()))
+
+
+def test_packing(spark, table, empty):
+    vocabulary, docs = tokens.default_vocabulary(), with_nulls(spark, table)
+    pieces = packing.pieces(docs[0], vocabulary, sequence=64)
+    got = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces.collect())
+    want = Counter()
+    for i, t in docs[1]:
+        ids = plain_ids(t)
+        first = (len(ids) - 1) % 64 + 1
+        cuts = [0, *range(first, len(ids) + 1, 64)]
+        want.update((i, k, a, b - a, crc(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    assert got == want
+    named = pieces.withColumn("sequence_id", F.lit(5)).withColumn("_at", F.col("start"))
+    packed = packing.pack(workdir.cut(named), sequence=64, open_bins=8, task_pieces=200, block=16)
+    assert packed.columns[-5:] == ["ids_crc32", "sequence_id_", "_at", "sequence_id", "offset"]
+    rows_ = packed.collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows_) == want and all(r["_at"] == r.start and r["sequence_id_"] == 5 for r in rows_)
     at = {}
-    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+    for r in sorted(rows_, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at.get(r.sequence_id, 0)
         at[r.sequence_id] = r.offset + r.length
     assert max(at.values()) <= 64
+    assert packing.pack(packing.pieces(empty, vocabulary)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["don't stop. I'll go' x", "é×a ÷.b", "x  y  z", "a\u0085 b", "  lead\t\ttab \n", "日本 語。ok", "word's 's 'S", "a" * 300 + " b", "<|endoftext|> a", "\x1c a\x1f b"])
+def test_best_fit_equals_model():
+    """Against a plain list of open bins: the fullest that fits, else a new one; one too many closes the fullest."""
+    rng = random.Random(6)
+    for _ in range(60):
+        most, size = rng.randint(1, 6), rng.randint(5, 40)
+        lengths = [rng.randint(1, size) for _ in range(rng.randint(0, 120))]
+        fit = packing.BestFit(size, most)
+        bins, offsets = fit.place(lengths[:50])
+        more = fit.place(lengths[50:])
+        bins, offsets = bins + more[0], offsets + more[1]
+        free, opened, closed = {}, 0, 0
+        for n, b, o in zip(lengths, bins, offsets):
+            fitting = [f for f in free.values() if f >= n]
+            if fitting:
+                assert free[b] == min(fitting) and o == size - free[b]
+            else:
+                assert b == opened and o == 0
+                opened += 1
+                if len(free) == most:
+                    # of equally full bins any may close: take one that isn't used again
+                    fullest = [x for x in free if free[x] == min(free.values())]
+                    later = set(bins[bins.index(b):])
+                    free.pop(next((x for x in fullest if x not in later), fullest[0]))
+                    closed += 1
+                free[b] = size
+            free[b] -= n
+            if not free[b]:
+                del free[b]
+        assert (fit.opened, fit.closed) == (opened, closed)
+
+
+def test_packing_needs_few_sequences():
+    rng = random.Random(7)
+    lengths = [min(2048, int(rng.lognormvariate(5.5, 1.1)) + 1) for _ in range(60_000)]
+    blocks = [sorted(lengths[k : k + packing.BLOCK], reverse=True) for k in range(0, len(lengths), packing.BLOCK)]
+    fit = packing.BestFit()
+    fit.place([n for b in blocks for n in b])
+    assert fit.closed > 0 or fit.n_open <= packing.OPEN_BINS
+    assert fit.opened <= 1.01 * sum(lengths) / 2048
+
+
+@pytest.mark.parametrize("text", ["don't stop. I'll go' x", "é×a ÷.b", "x  y  z", "a\u0085 b", "  lead\t\ttab \n", "日本 語。ok", "word's 's 'S", "a" * 300 + " b", "<|endoftext|> a", "a <|endoftext|>b.c <|end", "\x1c a\x1f b"])
 def test_encoder_cuts(text):
     enc = tokens.encoder(tokens.default_vocabulary())
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    assert enc.encode_flat(data, np.array([0, len(data)]))[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    data = np.frombuffer((text + "x y" + text).encode(), dtype=np.uint8)
+    limits = np.cumsum([0, len(text.encode()), 3, len(text.encode())])
+    ids, before = enc.encode_flat(data, limits)
+    assert [ids[a:b].tolist() for a, b in zip(before, before[1:])] == [plain_ids(t)[:-1] for t in (text, "x y", text)]
 
 
 def test_quality(table, empty):
