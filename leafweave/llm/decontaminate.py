@@ -44,7 +44,7 @@ STEPS = (1, 2, 3, 4, 6, 8, 11, 14, 18)
 #: Chance that a walk moves on, and share of its steps that a key samples.
 MOVE, SAMPLED = 0.75, 0.75
 #: Walks are taken so long that a window still needs so many votes.
-LEAST_VOTES = 4
+LEAST_VOTES = 10
 #: Simulated copies of each length; lengths on a grid of this ratio, up to the longest.
 TRIALS, GRID, LONGEST = 200, 1.2, 300
 #: Before the edit distance, so many grams of that many bytes must occur in the window as all but this share of such copies keep.
@@ -52,7 +52,7 @@ GRAM, GRAM_LOSS = 5, 0.005
 #: Bytes of item text that a task holds at once; more items are taken in blocks, a pass over the documents each.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text that are walked over at once.
-SLICE = 1 << 17
+SLICE = 1 << 16
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -104,17 +104,21 @@ class Walks:
 
     def keys(self, text: np.ndarray, steps: set[int]) -> Iterator[tuple[int, np.ndarray]]:
         """(number of steps, key at each byte); walks run on past the text's end over one same symbol."""
-        n, symbol, move = len(text), text.astype(np.uint32) + np.uint32(self.salt), self.move[text]
-        key = np.zeros(n + 1, dtype=np.uint32)
+        n, symbol = len(text), text.astype(np.uint32) + np.uint32(self.salt)
+        move, key = self.move[text].view(np.int32), np.zeros(n + 1, dtype=np.uint32)
+        moves, here = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.uint32)
         for j in range(1, max(steps, default=0) + 1):
-            moves = np.uint32(0) - ((move >> np.uint32(j - 1)) & np.uint32(1))  # all bits, or none
-            here = key[:-1] ^ ((key[1:] ^ key[:-1]) & moves)
+            # the step's bit as all bits or none, then one key or the other by it
+            np.left_shift(move, 32 - j, out=moves)
+            np.right_shift(moves, 31, out=moves)
+            np.bitwise_xor(key[1:], key[:-1], out=here)
+            np.bitwise_and(here, moves.view(np.uint32), out=here)
+            key[:n] ^= here
             if self.sampled[-j]:
-                here *= _ODD
-                here += symbol
-            key[:n] = here
+                key[:n] *= _ODD
+                key[:n] += symbol
             if j in steps:
-                yield j, here
+                yield j, key[:n]
 
     def reach(self, text: np.ndarray, steps: set[int]) -> dict[int, np.ndarray]:
         """The last byte that each walk reads, by number of steps."""
@@ -128,9 +132,9 @@ class Walks:
         return {j: out[j] for j in steps}
 
 
-def _edited(rng: np.random.Generator, text: np.ndarray, edits: int, kinds: int) -> np.ndarray:
-    """A copy with that many edits at random places: replaced bytes only (one kind), or bytes inserted and removed too (three)."""
-    kind = rng.integers(0, kinds, edits)
+def _edited(rng: np.random.Generator, text: np.ndarray, edits: int, only: int) -> np.ndarray:
+    """A copy with that many edits at random places: bytes replaced (0), removed (1), inserted (2), or all three (3)."""
+    kind = rng.integers(0, 3, edits) if only == 3 else np.full(edits, only)
     out = text.copy()
     n = int((kind == 0).sum())
     out[rng.choice(len(out), n, replace=False)] = rng.integers(97, 121, n)
@@ -139,8 +143,8 @@ def _edited(rng: np.random.Generator, text: np.ndarray, edits: int, kinds: int)
 
 
 def _width(size, similarity: float):
-    """Diagonals of a bin: two neighbouring bins hold all that the edits allowed can lead to."""
-    return np.maximum(8, np.ceil((1 - similarity) * np.asarray(size))).astype(np.int64)
+    """Diagonals of a bin: insertions and removals make up for each other in part, so votes keep closer together than the edits allow."""
+    return np.maximum(8, np.ceil(0.4 * (1 - similarity) * np.asarray(size))).astype(np.int64)
 
 
 @functools.cache
@@ -150,7 +154,7 @@ def votes_needed(length: int, similarity: float = SIMILARITY, recall: float = RE
     width = int(_width(length, similarity))
     items = rng.integers(97, 121, (TRIALS, length)).astype(np.uint8)
     items[rng.random(items.shape) < 1 / 6] = 0x20
-    copies = [_edited(rng, x, edits, 1 + 2 * (i % 2)) for i, x in enumerate(items)]
+    copies = [_edited(rng, x, edits, i % 4) for i, x in enumerate(items)]
     gap = np.zeros(max(STEPS) + 1, dtype=np.uint8)
     one, two = (np.concatenate([y for x in rows for y in (x, gap)]) for rows in (items, copies))
     begin = [np.cumsum([0] + [len(x) + len(gap) for x in rows])[:-1] for rows in (items, copies)]
