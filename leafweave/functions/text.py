@@ -54,29 +54,58 @@ def toc_like(x: Column) -> Column:
     return x.contains("....") | x.contains("…")
 
 
+# Numerals that head a contents line, what may fill it up, and the patterns of contents lines and captions.
 _NUMERALS = "壹貳參肆伍陸柒捌玖拾一二三四五六七八九十"
+_SUB_NUMERALS = r"一二三四五六七八九十\p{Nd}"
+_TO_PAGE = rf"{WS}*(.+?){WS}*[.…·]+{WS}*(\p{{Nd}}+){WS}*$"
+_TOC_MAIN = rf"^([{_NUMERALS}]+)[、.．]{_TO_PAGE}"
+_TOC_SUB = rf"^[（(]([{_SUB_NUMERALS}]+)[）)]{_TO_PAGE}"
+_CAPTION_RAW = rf"^表{WS}*(\p{{Nd}}+){WS}+(.+)"
+_CAPTION_TIGHT = r"^表(\p{Nd}+)(.+)"
+_CAPTION_HEAD = r"^表\p{Nd}+"
+_BOXES = "[│├┤┬┴┼─]"
+
+
+def digits_value(x: Column) -> Column:
+    """The number that digits stand for, full-width ones included."""
+    return F.translate(x, "０１２３４５６７８９", "0123456789").cast("long")
 
 
 def toc_entry(line: Column) -> Column:
     """(title, page, level) of a contents line, null for others: a single numeral is level 1, others and those in brackets level 2."""
-    main, sub = rf"([{_NUMERALS}]+)[、.．]\s*(.+?)\s*[.…·]+\s*([0-9]+)\s*$", rf"[（(]([{_NUMERALS}]+)[）)]\s*(.+?)\s*[.…·]+\s*([0-9]+)\s*$"
+    line = strip(line)
 
     def entry(pattern: str, title: Column, level: Column) -> Column:
-        return F.when(line.rlike(pattern), F.struct(title.alias("title"), F.regexp_extract(line, pattern, 3).cast("long").alias("page"), level.cast("long").alias("level")))
+        return F.when(line.rlike(pattern), F.struct(strip(title).alias("title"), digits_value(F.regexp_extract(line, pattern, 3)).alias("page"), level.cast("long").alias("level")))
+
+    numeral = F.regexp_extract(line, _TOC_MAIN, 1)
+    first = entry(_TOC_MAIN, F.concat(numeral, F.lit("、"), strip(F.regexp_extract(line, _TOC_MAIN, 2))), F.when(F.length(numeral) == 1, 1).otherwise(2))
+    return F.coalesce(first, entry(_TOC_SUB, F.regexp_extract(line, _TOC_SUB, 2), F.lit(2)))
+
 
-    numeral = F.regexp_extract(line, main, 1)
-    first = entry(main, F.concat(numeral, F.lit("、"), F.regexp_extract(line, main, 2)), F.when(F.length(numeral) == 1, 1).otherwise(2))
-    return F.coalesce(first, entry(sub, F.regexp_extract(line, sub, 2), F.lit(2)))
+def toc_heading(x: Column) -> Column:
+    """True for a block that begins with the word for contents."""
+    return normalize_heading(x).rlike("^目[次錄]")
 
 
 def caption(line: Column) -> Column:
     """A table caption with its number's leading zeros gone, empty for other lines."""
-    flat, raw, tight = normalize_heading(line), r"表\s*([0-9]+)\s+(.+)", r"表([0-9]+)\s*(.+)"
+    line = strip(line)
 
     def made(x: Column, pattern: str) -> Column:
-        return F.when(x.rlike(pattern), F.concat(F.lit("表"), F.regexp_extract(x, pattern, 1).cast("long").cast("string"), F.lit(" "), F.regexp_extract(x, pattern, 2)))
+        return F.when(x.rlike(pattern), F.concat(F.lit("表"), digits_value(F.regexp_extract(x, pattern, 1)).cast("string"), F.lit(" "), F.regexp_extract(x, pattern, 2)))
+
+    return F.coalesce(made(line, _CAPTION_RAW), made(normalize_heading(line), _CAPTION_TIGHT), F.lit(""))
+
+
+def caption_like(x: Column) -> Column:
+    """True for a block that begins like a table caption, white space aside."""
+    return normalize_heading(x).rlike(_CAPTION_HEAD)
 
-    return F.coalesce(made(line, raw), made(flat, tight), F.lit(""))
+
+def boxed(x: Column) -> Column:
+    """True for text with box-drawing characters."""
+    return x.rlike(_BOXES)
 
 
 def _common_han() -> str:
@@ -89,3 +118,20 @@ def count_common_han(x: Column) -> Column:
     """Common characters other than white space; a translation, as a pattern of so many ranges is slow."""
     flat = normalize_heading(x)
     return (F.length(flat) - F.length(F.translate(flat, _common_han(), ""))).cast("long")
+
+
+def text_stats(x: Column) -> Column:
+    """Counts and shares of character classes without white space.
+
+    Ideographs count by themselves.  Common characters, letters and digits, and
+    symbols exclude each other in this order.  A null or empty text has zeros.
+    """
+    flat = normalize_heading(F.coalesce(x, F.lit("")))
+    rest, total = F.translate(flat, _common_han(), ""), F.length(flat)
+
+    def count(of: Column, chars: str) -> Column:
+        return F.regexp_count(of, F.lit(chars)).cast("long")
+
+    counts = {"cjk": count(flat, CJK), "common_han": (total - F.length(rest)).cast("long"), "alnum": count(rest, r"[\p{L}\p{N}]"), "symbol": count(rest, r"[\p{P}\p{S}\p{Cc}]")}
+    shares = [F.when(total == 0, 0.0).otherwise(n / total).alias(f"{k}_ratio") for k, n in counts.items()]
+    return F.struct(total.cast("long").alias("char_count"), *[n.alias(f"{k}_count") for k, n in counts.items()], *shares)

@@ -17,21 +17,19 @@ _ARTICLE = "第[一二三四五六七八九十百]+條"
 #: (document type, pattern of number and title, what stands between them, least font size, contents lines rejected)
 TITLE_RULES = (
     ("REQUIREMENT_SPECIFICATION", r"^([壹貳參肆伍陸柒捌玖拾])[、.．,](.+)", "、", 13, True),
-    ("CONTRACT_BODY", rf"^({_ARTICLE})\s*(.+)", " ", 13, True),
-    ("ATTACHMENT", r"^(附件\p{Nd}+)[：:]\s*(.+)", "：", 14, False),
-    ("BID_INSTRUCTIONS", rf"^({_ARTICLE}|[一二三四五六七八九十][、.])\s*(.+)", " ", 12, False),
+    ("CONTRACT_BODY", rf"^({_ARTICLE})(.+)", " ", 13, True),
+    ("ATTACHMENT", r"^(附件\p{Nd}+)[：:](.+)", "：", 14, False),
+    ("BID_INSTRUCTIONS", rf"^({_ARTICLE}|[一二三四五六七八九十]+[、.])(.+)", " ", 12, False),
 )
 
 
 def title(doc_type: Column, text: Column, font_size: Column) -> Column:
     """The section title that a block is for its type of document, null for other blocks."""
-    line, out = T.strip(text), F.lit(None).cast("string")
+    line, out = T.normalize_heading(text), F.lit(None).cast("string")
     for kind, pattern, between, least, checked in TITLE_RULES:
         rest = F.regexp_extract(line, pattern, 2)
         if kind == "CONTRACT_BODY":
-            rest = F.regexp_replace(rest, r"[.…·]+\s*\p{Nd}*\s*$", "")
-        if kind in ("CONTRACT_BODY", "REQUIREMENT_SPECIFICATION"):
-            rest = T.strip(rest)
+            rest = F.regexp_replace(rest, r"[.…·]+\p{Nd}*$", "")
         fits = (doc_type == kind) & line.rlike(pattern) & (font_size >= least)
         if checked:
             fits &= ~T.toc_like(text)
@@ -57,6 +55,31 @@ def item_category(answer: Column, section_category: Column) -> Column:
     return F.when(chosen.isin(*CATEGORIES), chosen).otherwise("UNCLASSIFIED")
 
 
+def asked(content: Column, bad: Column, priority: Column) -> Column:
+    """True for sections that a model is asked about: with text, without a bad page, not excluded."""
+    return (T.strip(F.coalesce(content, F.lit(""))) != "") & ~bad & (priority != "EXCLUDED")
+
+
+def final_category(rule: Column, answer: Column) -> Column:
+    """The rule's category; the model's (null if not asked) only where no rule matched."""
+    return F.when(rule == "UNCLASSIFIED", F.coalesce(answer, rule)).otherwise(rule)
+
+
+def contents(runs: DataFrame, blocks: DataFrame, scan: int = 8) -> DataFrame:
+    """(doc, seq, page, title, printed_page, level) of contents lines.
+
+    ``runs``: doc, seq, start_page, end_page, of which the first pages are
+    looked at; ``blocks``: doc, page, ord, text.  Only pages with a contents
+    heading count; the heading itself isn't an entry.
+    """
+    from leafweave.operators.intervals import pages_of
+
+    headed = blocks.where(T.toc_heading(F.col("text"))).select("doc", "page").distinct()
+    pages = pages_of(runs, at_most=scan).select("doc", "seq", "page").join(headed, ["doc", "page"], "left_semi")
+    rows = pages.join(blocks, ["doc", "page"]).select("doc", "seq", "page", T.toc_entry(F.col("text")).alias("e")).where("e is not null")
+    return rows.select("doc", "seq", "page", "e.title", F.col("e.page").alias("printed_page"), "e.level")
+
+
 def content_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks that are neither running lines, page numbers nor excluded; null roles and flags count as content."""
     return blocks.where(~F.coalesce(F.col("role"), F.lit("")).isin(*NOT_CONTENT) & ~F.coalesce("exclude", F.lit(False)))

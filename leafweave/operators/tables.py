@@ -35,3 +35,10 @@ def confidence(fragments: DataFrame, least: float = 0.8) -> DataFrame:
     n = fragments.groupBy("table").agg(F.count("*").alias("n"), F.min("signature").alias("a"), F.max("signature").alias("b"))
     conf = F.when(F.col("n") == 1, 1.0).when(F.col("a") == F.col("b"), 0.95).otherwise(0.7)
     return n.select("table", conf.alias("confidence"), (conf < least).alias("needs_review"))
+
+
+def near_captions(tables: DataFrame, captions: DataFrame) -> DataFrame:
+    """Adds caption to tables (doc, page): the first of their page (doc, page, ord, caption), else of the page before, else empty."""
+    first = captions.where("caption <> ''").groupBy("doc", "page").agg(F.min_by("caption", "ord").alias("caption"))
+    before = first.select("doc", (F.col("page") + 1).alias("page"), F.col("caption").alias("earlier"))
+    return tables.join(first, ["doc", "page"], "left").join(before, ["doc", "page"], "left").withColumn("caption", F.coalesce("caption", "earlier", F.lit(""))).drop("earlier")

@@ -36,3 +36,34 @@ def rule_tree(items: DataFrame, most: int = 20) -> DataFrame:
 def numbered(rows: DataFrame, group: str, order: list[str], template: str) -> Column:
     """Sequential ids within a group, in the given order, as a column for ``rows``."""
     return F.format_string(template, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def paths(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(doc, node, code, depth, above) of a forest (doc, node, parent, ord) of any depth.
+
+    ``code`` joins the places among siblings from the root down, ``above`` has
+    the node itself and all its ancestors.  A null, empty or unknown parent
+    makes a root.  Every round doubles how far up a node has looked, so the
+    rounds are the logarithm of the depth, each a join on the node.  A cycle
+    raises ValueError.
+    """
+    known = nodes.select("doc", F.col("node").alias("up"))
+    rows = nodes.select("doc", "node", "ord", F.when(F.col("parent") != "", F.col("parent")).alias("up")).join(known.withColumn("known", F.lit(True)), ["doc", "up"], "left")
+    rows = rows.withColumn("up", F.when(F.col("known"), F.col("up")))
+    place = F.row_number().over(Window.partitionBy("doc", "up").orderBy("ord", "node"))
+    rows = rows.select("doc", "node", "up", place.cast("string").alias("code"), F.array("node").alias("above"))
+    for _ in range(most_rounds):
+        rows = rows.persist()  # read twice a round; lost blocks are computed again
+        if not rows.where("up is not null").limit(1).count():
+            return rows.select("doc", "node", "code", F.size("above").cast("long").alias("depth"), "above")
+        over = rows.select("doc", F.col("node").alias("up"), F.col("up").alias("further"), F.col("code").alias("head"), F.col("above").alias("more"))
+        rows = rows.join(over, ["doc", "up"], "left").select("doc", "node", F.col("further").alias("up"), F.concat_ws(".", "head", "code").alias("code"), F.concat("above", F.coalesce("more", F.array().cast(rows.schema["above"].dataType))).alias("above"))
+    raise ValueError("the nodes' parents form a cycle")
+
+
+def subtree_counts(found: DataFrame, items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Items (doc, node, ...) of each node of ``paths`` and all below it, by more columns if given; zero only without them."""
+    per = items.groupBy("doc", "node", *(by or [])).agg(F.count("*").alias("n"))
+    up = found.join(per, ["doc", "node"]).select("doc", F.explode("above").alias("node"), *(by or []), "n")
+    total = up.groupBy("doc", "node", *(by or [])).agg(F.sum("n").alias("n_items"))
+    return total if by else found.select("doc", "node").join(total, ["doc", "node"], "left").fillna(0, ["n_items"])

@@ -1,3 +1,3 @@
 """Importing the package registers all queries."""
 
-from leafweave.plans import register, section_queries, table_queries, tree_queries  # noqa: F401
+from leafweave.plans import document_queries, register, section_queries, table_queries, tree_queries  # noqa: F401

@@ -159,14 +159,6 @@ def page_char_count(spark, d):
     return text_blocks(spark, d).groupBy("doc", "page").agg(F.sum(F.length(F.translate("text", " \n", ""))).alias("char_count"))
 
 
-@query(r"""SELECT doc_id, total, letters, digits, CASE WHEN total = 0 THEN 0 ELSE round(letters / total, 6) END AS letter_ratio FROM (SELECT doc_id, length(regexp_replace(text, '[\s\p{Z}]', '', 'g')) AS total,
- length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS digits FROM documents)""")
-def page_text_stats(spark, d):
-    x = F.col("text")
-    s = table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(x, T.WS, "")).cast("long").alias("total"), T.count_class(x, r"\p{L}").alias("letters"), T.count_class(x, r"\p{Nd}").alias("digits"))
-    return s.withColumn("letter_ratio", F.when(F.col("total") == 0, 0.0).otherwise(F.round(F.col("letters") / F.col("total"), 6)))
-
-
 @query(f"WITH {V1} SELECT doc, ord FROM tb WHERE page = 0 AND ord < 4")
 def first_blocks(spark, d):
     return text_blocks(spark, d).where("page = 0 and ord < 4").select("doc", "ord")
@@ -192,22 +184,6 @@ def llm_json_fields(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("field"))
 
 
-_TITLES = ["契約價金之給付", "驗收", "教育 訓練", "專案管理", "維運服務", "交付文件驗收", "其他", "資安要求", "系統功能"]
-
-
-@query("SELECT title, category FROM (VALUES ('契約價金之給付','PAYMENT'),('驗收','ACCEPTANCE'),('教育 訓練','TRAINING'),('專案管理','MANAGEMENT'),('維運服務','MAINTENANCE'),('交付文件驗收','ACCEPTANCE'),('其他','UNCLASSIFIED'),('資安要求','SECURITY_ACTIVITY'),('系統功能','SCOPE')) t(title, category)")
-def rule_classify(spark, d):
-    return spark.createDataFrame([(t,) for t in _TITLES], "title string").select("title", T.classify_title(F.col("title")).alias("category"))
-
-
-# segments ---------------------------------------------------------------------
-
-
-@query(f"WITH {PS}, r AS (SELECT *, CASE WHEN lag(c) OVER (PARTITION BY doc ORDER BY page) = c THEN 0 ELSE 1 END AS new FROM ps), q AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY page) AS seq FROM r) SELECT doc, seq::BIGINT AS seq, c AS label, min(page) AS start_page, max(page) AS end_page, count(*) AS n_pages FROM q GROUP BY doc, seq, c")
-def subdoc_segments(spark, d):
-    return segments.run_length(page_states(spark, d).withColumnRenamed("c", "label"))
-
-
 @query(f"WITH {PS} SELECT doc, page, coalesce(last_value(CASE WHEN c IN ('N','G') THEN c END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS UNBOUNDED PRECEDING), 'CONTRACT_BODY') AS label FROM ps")
 def label_forward_fill(spark, d):
     rows = page_states(spark, d).select("doc", "page", F.when(F.col("c").isin("N", "G"), F.col("c")).alias("label"))
@@ -278,11 +254,3 @@ def sections_with_pairs(spark, d):
 @query("SELECT o_orderkey AS item FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%'")
 def search_items(spark, d):
     return table(spark, d, "orders").where(F.lower("o_orderpriority").contains("urgent")).select(F.col("o_orderkey").alias("item"))
-
-
-_STAGES = "(VALUES (1,'DONE'),(2,'DONE'),(3,'FAILED'),(4,'STALE')) t(ordinal, status)"
-
-
-@query(f"SELECT min(ordinal)::BIGINT AS pending FROM {_STAGES} WHERE status <> 'DONE'")
-def stage_first_pending(spark, d):
-    return spark.createDataFrame([(1, "DONE"), (2, "DONE"), (3, "FAILED"), (4, "STALE")], "ordinal long, status string").where("status <> 'DONE'").agg(F.min("ordinal").alias("pending"))

@@ -9,16 +9,6 @@ from leafweave.operators import chunks, sections
 from leafweave.plans.register import V1, query, table, text_blocks
 
 _TYPES = ("REQUIREMENT_SPECIFICATION", "CONTRACT_BODY", "ATTACHMENT", "LAW_OR_POLICY", "SERVICE_PROPOSAL")
-_BLOCKS = [
-    ("REQUIREMENT_SPECIFICATION", "壹、專案目標", 16.0), ("REQUIREMENT_SPECIFICATION", "壹、專案目標 ........ 1", 16.0), ("REQUIREMENT_SPECIFICATION", "貳、現況概述", 12.0),
-    ("CONTRACT_BODY", "第十條 驗收·· 12", 13.0), ("ATTACHMENT", "附件3: 保密切結書", 14.0), ("ATTACHMENT", "附件3: 保密切結書", 13.0), ("BID_INSTRUCTIONS", "三、 投標文件", 12.0), ("EVALUATION_GUIDELINES", "壹、評選", 20.0),
-]
-
-
-@query("SELECT doc_type, text, title FROM (VALUES ('REQUIREMENT_SPECIFICATION','壹、專案目標','壹、專案目標'),('CONTRACT_BODY','第十條 驗收·· 12','第十條 驗收'),('ATTACHMENT','附件3: 保密切結書','附件3：保密切結書'),('BID_INSTRUCTIONS','三、 投標文件','三、 投標文件')) t(doc_type, text, title)")
-def section_titles(spark, d):
-    rows = spark.createDataFrame(_BLOCKS, "doc_type string, text string, font_size double")
-    return rows.select("doc_type", "text", sections.title(F.col("doc_type"), F.col("text"), F.col("font_size")).alias("title")).where("title is not null")
 
 
 @query("""WITH s AS (SELECT p_partkey, ['REQUIREMENT_SPECIFICATION','CONTRACT_BODY','ATTACHMENT','LAW_OR_POLICY','SERVICE_PROPOSAL'][p_partkey % 5 + 1] AS t, ['PAYMENT','SCOPE','TRAINING'][p_size % 3 + 1] AS c FROM part)
@@ -77,13 +67,6 @@ def chunk_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunks.chunk_text(F.col("text"))).alias("chunk", "text"))
 
 
-@query("SELECT text, n::BIGINT AS n_common, ratio::DOUBLE AS ratio FROM (VALUES ('契約 驗收', 4, 1.0), ('契约ab', 1, 0.25), ('，。！', 3, 1.0), ('', 0, 0.0), ('abc', 0, 0.0)) t(text, n, ratio)")
-def common_han_ratio(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("契約 驗收", "契约ab", "，。！", "", "abc")], "text string")
-    n, total = T.count_common_han(F.col("text")), F.length(T.normalize_heading(F.col("text")))
-    return rows.select("text", n.alias("n_common"), F.when(total == 0, 0.0).otherwise(F.round(n / total, 6)).alias("ratio"))
-
-
 @query("WITH i AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, '- ' || o_orderkey || ': ' || left(o_orderpriority || ' ' || o_orderstatus, 100) AS line FROM orders) SELECT o_custkey AS section, string_agg(line, chr(10) ORDER BY k) AS prompt FROM i WHERE k <= 50 GROUP BY 1 HAVING count(*) > 1")
 def relation_prompt(spark, d):
     items = table(spark, d, "orders").select(F.col("o_custkey").alias("section"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("item_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("description"))

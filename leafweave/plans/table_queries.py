@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafweave.functions import text as T
 from leafweave.operators import intervals, segments, tables
-from leafweave.plans.register import _TITLES, PS, STRIP, V1, page_states, query, table, text_blocks
+from leafweave.plans.register import PS, STRIP, V1, page_states, query, table, text_blocks
 
 SEG = f"""{PS}, rl AS (SELECT *, CASE WHEN lag(c) OVER (PARTITION BY doc ORDER BY page) = c THEN 0 ELSE 1 END AS new FROM ps), rs AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY page) AS seq FROM rl),
  seg AS (SELECT doc, seq::BIGINT AS seq, c AS label, min(page) AS start_page, max(page) AS end_page FROM rs GROUP BY doc, seq, c)"""
@@ -16,10 +16,6 @@ def runs(spark, d):
     return segments.run_length(page_states(spark, d).withColumnRenamed("c", "label")).drop("n_pages")
 
 
-def inline(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
 # intervals --------------------------------------------------------------------
 
 
@@ -127,58 +123,3 @@ def reject_toc_lines(spark, d):
 def strip_page_number(spark, d):
     at = r"[ \t\n\f\r]+([0-9]+)[ \t\n\f\r]*\z"
     return text_blocks(spark, d).select("doc", "ord", F.regexp_replace("text", at, "").alias("rest"), F.regexp_extract("text", at, 1).alias("number"))
-
-
-@query("SELECT title, round(n, 6) AS ratio FROM (VALUES ('契約價金之給付',1.0::DOUBLE),('驗收',1.0),('教育 訓練',1.0),('ab驗收',0.5),('',0.0),('x y',0.0)) t(title, n)")
-def cjk_ratio(spark, d):
-    rows = inline(spark, [(x,) for x in ("契約價金之給付", "驗收", "教育 訓練", "ab驗收", "", "x y")], "title string")
-    total = F.length(T.normalize_heading(F.col("title")))
-    return rows.select("title", F.when(total == 0, 0.0).otherwise(F.round(T.count_class(F.col("title"), T.CJK) / total, 6)).alias("ratio"))
-
-
-@query("SELECT line, title, page::BIGINT AS page, level::BIGINT AS level FROM (VALUES ('壹、 專案目標 ....... 1','壹、專案目標',1,1),('十一、其他 … 9','十一、其他',9,2),('（一）範圍 ··· 3','範圍',3,2)) t(line, title, page, level)")
-def toc_entries(spark, d):
-    rows = inline(spark, [(x,) for x in ("壹、 專案目標 ....... 1", "十一、其他 … 9", "（一）範圍 ··· 3", "目次", "no number ....")], "line string")
-    return rows.select("line", T.toc_entry(F.col("line")).alias("e")).where("e is not null").select("line", "e.*")
-
-
-@query("SELECT line, caption FROM (VALUES ('表 05  需求說明','表5 需求說明'),('表12交付項目','表12 交付項目'),('表格','')) t(line, caption)")
-def table_captions(spark, d):
-    rows = inline(spark, [("表 05  需求說明",), ("表12交付項目",), ("表格",)], "line string")
-    return rows.select("line", T.caption(F.col("line")).alias("caption"))
-
-
-@query("SELECT line, law FROM (VALUES ('│ 第一條 │', true), ('├──┤', true), ('第一條', false)) t(line, law)")
-def law_pages(spark, d):
-    return inline(spark, [("│ 第一條 │",), ("├──┤",), ("第一條",)], "line string").select("line", F.col("line").rlike("[│├┤┬┴┼─]").alias("law"))
-
-
-@query("SELECT pattern, bid, evaluation, ignored FROM (VALUES ('投標須知 {n}', true, false, false), ('{n}/{n}/{n} 評選', false, true, false), ('{n}', false, false, true), ('契約', false, false, false)) t(pattern, bid, evaluation, ignored)")
-def zone_families(spark, d):
-    p = F.col("pattern")
-    rows = inline(spark, [("投標須知 {n}",), ("{n}/{n}/{n} 評選",), ("{n}",), ("契約",)], "pattern string")
-    return rows.select("pattern", (p.contains("投標") | p.contains("須知")).alias("bid"), p.contains("{n}/{n}/{n}").alias("evaluation"), (p == "{n}").alias("ignored"))
-
-
-@query("SELECT title, category FROM (VALUES ('契約價金之給付','PAYMENT'),('驗收','ACCEPTANCE'),('教育 訓練','TRAINING'),('專案管理','MANAGEMENT'),('維運服務','MAINTENANCE'),('交付文件驗收','ACCEPTANCE'),('其他','SCOPE'),('資安要求','SECURITY_ACTIVITY'),('系統功能','SCOPE')) t(title, category)")
-def classify_mock(spark, d):
-    """The stand-in model's answer, SCOPE, counts only where no rule matched."""
-    rule = T.classify_title(F.col("title"))
-    return inline(spark, [(t,) for t in _TITLES], "title string").select("title", F.when(rule == "UNCLASSIFIED", "SCOPE").otherwise(rule).alias("category"))
-
-
-# stage records ----------------------------------------------------------------
-
-_RECORDS = [(1, "DONE"), (2, "DONE"), (3, "FAILED"), (4, "DONE"), (5, "PENDING")]
-
-
-@query("SELECT ordinal::BIGINT AS ordinal, status FROM (VALUES (1,'DONE'),(2,'DONE'),(3,'FAILED'),(4,'STALE'),(5,'PENDING')) t(ordinal, status)")
-def stage_downstream_stale(spark, d):
-    stale = (F.col("ordinal") > 2) & (F.col("status") == "DONE")
-    return inline(spark, _RECORDS, "ordinal long, status string").withColumn("status", F.when(stale, "STALE").otherwise(F.col("status")))
-
-
-@query("SELECT ordinal::BIGINT AS ordinal, skip FROM (VALUES (1, true), (2, false), (3, false)) t(ordinal, skip)")
-def stage_should_skip(spark, d):
-    rows = inline(spark, [(1, "DONE", "a", "a"), (2, "DONE", "a", "b"), (3, "FAILED", "a", "a")], "ordinal long, status string, input_hash string, now string")
-    return rows.select("ordinal", ((F.col("status") == "DONE") & (F.col("input_hash") == F.col("now"))).alias("skip"))
