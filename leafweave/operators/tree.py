@@ -67,3 +67,17 @@ def subtree_counts(found: DataFrame, items: DataFrame, by: list[str] | None = No
     up = found.join(per, ["doc", "node"]).select("doc", F.explode("above").alias("node"), *(by or []), "n")
     total = up.groupBy("doc", "node", *(by or [])).agg(F.sum("n").alias("n_items"))
     return total if by else found.select("doc", "node").join(total, ["doc", "node"], "left").fillna(0, ["n_items"])
+
+
+def merged(local: DataFrame, kept: DataFrame, root: str = "wbs-root") -> DataFrame:
+    """Local trees (doc, node, parent, ord, title) under one root a document, with codes, then kept nodes (doc, node, parent, title, code).
+
+    The root's code is 0.  A kept node, made by hand or locked, keeps its code;
+    it goes if its id was made again.  ``origin`` is merged or kept.
+    """
+    found = paths(local).select("doc", "node", "code", "depth")
+    top = local.select("doc").distinct().select("doc", F.lit(root).alias("node"), F.lit("").alias("parent"), F.lit(0).cast("long").alias("level"), F.lit("WBS Root").alias("title"), F.lit("0").alias("code"))
+    own = local.join(found, ["doc", "node"]).select("doc", "node", F.when(F.col("depth") == 1, root).otherwise(F.col("parent")).alias("parent"), F.col("depth").alias("level"), "title", "code")
+    new = top.unionByName(own).withColumn("origin", F.lit("merged"))
+    old = kept.join(new.select("doc", "node"), ["doc", "node"], "left_anti").select("doc", "node", "parent", F.lit(None).cast("long").alias("level"), "title", "code", F.lit("kept").alias("origin"))
+    return new.unionByName(old)

@@ -214,32 +214,6 @@ def merge_fragments(spark, d):
 # tree ---------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
-def orphan_items(spark, d):
-    items = table(spark, d, "orders")
-    return items.join(items.where("o_orderstatus <> 'P'").select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey")
-
-
-@query("SELECT r_regionkey::BIGINT AS region, n_nationkey::BIGINT AS nation, r || '.' || n AS code FROM (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS r FROM region) a JOIN (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation) b ON n_regionkey = r_regionkey")
-def wbs_codes(spark, d):
-    r = table(spark, d, "region").withColumn("r", F.row_number().over(Window.orderBy("r_regionkey")))
-    n = table(spark, d, "nation").withColumn("n", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("r_regionkey").cast("long").alias("region"), F.col("n_nationkey").cast("long").alias("nation"), F.concat_ws(".", "r", "n").alias("code"))
-
-
-@query("SELECT o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 1")
-def category_histogram(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT n_nationkey::BIGINT AS node, count(o_orderkey) AS n_items FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
-def subtree_item_counts(spark, d):
-    per = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    n = table(spark, d, "nation").select("n_nationkey")
-    return n.join(c, n.n_nationkey == c.c_nationkey, "left").select(F.col("n_nationkey").cast("long").alias("node"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
-
-
 @query("SELECT o_custkey AS section, o_orderkey AS item FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 20")
 def topn_items_per_section(spark, d):
     r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))

@@ -1,26 +1,56 @@
-"""Queries of items, work-package trees, validation and exports, over region > nation > customer with orders as items."""
+"""Queries of items, work-package trees, validation and exports.
+
+The tree is region > nation > customer, with three customers in ten below the
+customer before them, so it is up to six levels deep.  Orders are items; the
+bridge attaches them to customers, some also to a region, and some ids that
+no order has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafweave.operators import tree
-from leafweave.plans.register import PS, page_states, query, table, wbs_codes
+from leafweave.operators import tree, validate
+from leafweave.plans.register import PS, page_states, query, table
 from leafweave.plans.table_queries import SEG, runs
+from leafweave.sinks import export
+
+_ADJ = """adj AS (SELECT 'r' || r_regionkey AS node, '' AS parent, r_regionkey::BIGINT AS ord, r_name AS title, 'EXPLICIT' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey, n_name, 'INFERRED' FROM nation
+ UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 10 IN (1, 2, 3) AND c_custkey > 3 THEN 'c' || (c_custkey - 1) ELSE 'n' || c_nationkey END, c_custkey, c_name || ' (' || c_mktsegment || ')', 'EXPLICIT' FROM customer)"""
+CODES = f"""{_ADJ}, rk AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY ord, node) AS k FROM adj), tr AS (SELECT node, parent, title, type, ord, 1 AS level, k::VARCHAR AS code FROM rk WHERE parent = ''
+ UNION ALL SELECT rk.node, rk.parent, rk.title, rk.type, rk.ord, tr.level + 1, tr.code || '.' || rk.k FROM rk JOIN tr ON rk.parent = tr.node)"""
+BRIDGE = "br AS (SELECT 'c' || o_custkey AS node, o_orderkey AS item FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'r0', o_orderkey FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT 'c' || c_custkey, -c_custkey FROM customer WHERE c_custkey % 50 = 0)"
+_CLOSURE = "cl AS (SELECT node, node AS above, parent FROM adj UNION ALL SELECT cl.node, adj.node, adj.parent FROM cl JOIN adj ON adj.node = cl.parent)"
+
+
+def adjacency(spark, d) -> DataFrame:
+    """doc, node, parent, ord, title, type."""
+    key = lambda c, k: F.concat(F.lit(c), F.col(k).cast("string"))
+    one = table(spark, d, "region").select(key("r", "r_regionkey").alias("node"), F.lit("").alias("parent"), F.col("r_regionkey").cast("long").alias("ord"), F.col("r_name").alias("title"), F.lit("EXPLICIT").alias("type"))
+    two = table(spark, d, "nation").select(key("n", "n_nationkey").alias("node"), key("r", "n_regionkey").alias("parent"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("title"), F.lit("INFERRED").alias("type"))
+    below = (F.col("c_custkey") % 10).isin(1, 2, 3) & (F.col("c_custkey") > 3)
+    three = table(spark, d, "customer").select(key("c", "c_custkey").alias("node"), F.when(below, F.concat(F.lit("c"), (F.col("c_custkey") - 1).cast("string"))).otherwise(key("n", "c_nationkey")).alias("parent"), F.col("c_custkey").alias("ord"), F.format_string("%s (%s)", "c_name", "c_mktsegment").alias("title"), F.lit("EXPLICIT").alias("type"))
+    return one.unionByName(two).unionByName(three).select(F.lit("t").alias("doc"), "*")
 
-CODES = "rc AS (SELECT r_regionkey, r_name, row_number() OVER (ORDER BY r_regionkey) AS r FROM region), nc AS (SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation), tr AS (SELECT 1 AS level, r::VARCHAR AS code, r_name AS title, r_regionkey::BIGINT AS id, 'EXPLICIT' AS type FROM rc UNION ALL SELECT 2, r || '.' || n, n_name, n_nationkey, 'INFERRED' FROM nc JOIN rc ON r_regionkey = n_regionkey)"
 
+def nodes(spark, d) -> DataFrame:
+    """node, parent, ord, title, type, code, level of the whole tree."""
+    adj = adjacency(spark, d)
+    found = tree.paths(adj).select("node", "code", F.col("depth").alias("level"))
+    return adj.drop("doc").join(found, "node")
 
-def nodes(spark, d):
-    """level, code, title, id and type of the two upper levels (30 rows)."""
-    r = Window.orderBy("r_regionkey")
-    one = table(spark, d, "region").select(F.lit(1).alias("level"), F.row_number().over(r).cast("string").alias("code"), F.col("r_name").alias("title"), F.col("r_regionkey").cast("long").alias("id"), F.lit("EXPLICIT").alias("type"))
-    codes = wbs_codes(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), "n_name"), "nation")
-    return one.unionByName(codes.select(F.lit(2).alias("level"), "code", F.col("n_name").alias("title"), F.col("nation").alias("id"), F.lit("INFERRED").alias("type")))
 
+def bridge(spark, d) -> DataFrame:
+    """node, item: what is attached where."""
+    orders = table(spark, d, "orders")
+    own = orders.where("o_orderstatus <> 'P'").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.col("o_orderkey").alias("item"))
+    twice = orders.where("o_orderkey % 97 = 0").select(F.lit("r0").alias("node"), F.col("o_orderkey").alias("item"))
+    dangling = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), (-F.col("c_custkey")).alias("item"))
+    return own.unionByName(twice).unionByName(dangling)
 
-def items(spark, d):
+
+def items(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("section"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("status"))
 
 
@@ -86,36 +116,69 @@ def filter_excluded(spark, d):
 # tree ---------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n_items, count(*) FILTER (o_orderstatus <> 'P') AS attached, count(*) FILTER (o_orderstatus = 'P') AS orphans, 3::BIGINT AS max_depth FROM orders")
+@query(f"WITH RECURSIVE {CODES} SELECT node, code, level::BIGINT AS level FROM tr")
+def wbs_codes(spark, d):
+    return nodes(spark, d).select("node", "code", "level")
+
+
+@query(f"WITH RECURSIVE {CODES}, {BRIDGE} SELECT (SELECT count(*) FROM orders) AS n_items, (SELECT count(*) FROM (SELECT item FROM br INTERSECT SELECT o_orderkey FROM orders)) AS attached, (SELECT count(DISTINCT item) FROM br) AS listed, (SELECT max(level) FROM tr)::BIGINT AS max_depth, (SELECT count(*) FROM tr) AS n_nodes")
 def attachment_stats(spark, d):
-    stats = items(spark, d).agg(F.count("*").alias("n_items"), F.count_if(F.col("status") != "P").alias("attached"), F.count_if(F.col("status") == "P").alias("orphans"))
-    depth = nodes(spark, d).agg((F.max("level") + 1).cast("long").alias("max_depth"))  # customers lie below
-    return stats.crossJoin(depth)  # one row each
+    """Distinct attached ids, those that items have, and the tree's size."""
+    listed = bridge(spark, d).select("item").distinct()
+    known = listed.join(items(spark, d).select("item"), "item", "left_semi").agg(F.count("*").alias("attached"))
+    size = nodes(spark, d).agg(F.max("level").alias("max_depth"), F.count("*").alias("n_nodes"))
+    return items(spark, d).agg(F.count("*").alias("n_items")).crossJoin(known).crossJoin(listed.agg(F.count("*").alias("listed"))).crossJoin(size)  # one row each
 
 
-@query("SELECT c_nationkey::BIGINT AS node, count(DISTINCT c_mktsegment) AS n_titles FROM customer GROUP BY 1")
-def distinct_child_titles(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("node")).agg(F.countDistinct("c_mktsegment").alias("n_titles"))
+@query(f"WITH {BRIDGE} SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM br WHERE item = o_orderkey)")
+def orphan_items(spark, d):
+    return table(spark, d, "orders").select("o_orderkey").join(bridge(spark, d).select(F.col("item").alias("o_orderkey")).distinct(), "o_orderkey", "left_anti")
+
+
+@query(f"WITH {BRIDGE}, every AS (SELECT o_orderpriority AS category, o_orderkey FROM br JOIN orders ON o_orderkey = item UNION ALL SELECT o_orderpriority, o_orderkey FROM orders ANTI JOIN br ON item = o_orderkey), g AS (SELECT category, count(*) AS n, min(o_orderkey) AS first FROM every GROUP BY 1) SELECT category, n, row_number() OVER (ORDER BY n DESC, first) AS place FROM g")
+def category_histogram(spark, d):
+    """Items in nodes, as often as they are attached, and orphans; the largest category first."""
+    known = items(spark, d).select("item", "category")
+    held = bridge(spark, d).groupBy("item").agg(F.count("*").alias("n"))
+    counts = known.join(held, "item", "left").groupBy("category").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"), F.min("item").alias("first"))
+    # one row a category; their order needs no window over all rows
+    placed = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "category", "n"))).alias("g")).select(F.posexplode("g").alias("k", "g"))
+    return placed.select("g.category", "g.n", (F.col("k") + 1).cast("long").alias("place"))
 
 
-@query("SELECT c_nationkey::BIGINT AS node, o_orderpriority AS category, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL")
+@query(f"WITH RECURSIVE {_ADJ}, {BRIDGE}, {_CLOSURE} SELECT a.node, coalesce(n, 0) AS n_items FROM adj a LEFT JOIN (SELECT above, count(*) AS n FROM cl JOIN br USING (node) GROUP BY 1) ON above = a.node")
+def subtree_item_counts(spark, d):
+    """Attached ids of a node and of all below it."""
+    return tree.subtree_counts(tree.paths(adjacency(spark, d)), bridge(spark, d).select(F.lit("t").alias("doc"), "node")).select("node", "n_items")
+
+
+@query(f"WITH RECURSIVE {_ADJ}, {BRIDGE}, {_CLOSURE} SELECT above AS node, o_orderpriority AS category, count(*) AS n FROM cl JOIN br USING (node) JOIN orders ON o_orderkey = item GROUP BY ALL")
 def node_category_hist(spark, d):
-    per = items(spark, d).groupBy("section", "category").agg(F.count("*").alias("n"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("section"), F.col("c_nationkey").cast("long").alias("node"))
-    return per.join(c, "section").groupBy("node", "category").agg(F.sum("n").alias("n"))
+    held = bridge(spark, d).join(items(spark, d).select("item", "category"), "item").select(F.lit("t").alias("doc"), "node", "category")
+    return tree.subtree_counts(tree.paths(adjacency(spark, d)), held, ["category"]).select("node", "category", F.col("n_items").alias("n"))
+
+
+@query("SELECT c_nationkey::BIGINT AS node, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS titles FROM customer GROUP BY 1")
+def distinct_child_titles(spark, d):
+    titles = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("node")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("titles"))
+    return titles.select("node", F.array_join("titles", ",").alias("titles"))
 
 
-@query("SELECT c_nationkey::BIGINT AS branch, o_custkey AS section, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' GROUP BY ALL")
+@query(f"WITH {BRIDGE} SELECT coalesce(n_name, 'unknown') AS branch, o_custkey AS section, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey NOT IN (SELECT item FROM br) GROUP BY ALL")
 def orphan_groups(spark, d):
-    per = items(spark, d).where("status = 'P'").groupBy("section").agg(F.count("*").alias("n"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("section"), F.col("c_nationkey").cast("long").alias("branch"))
-    return per.join(c, "section").select("branch", "section", "n")
+    free = items(spark, d).join(bridge(spark, d).select("item").distinct(), "item", "left_anti").groupBy("section").agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("section"), "c_nationkey")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return free.join(c, "section", "left").join(n, "c_nationkey", "left").select(F.coalesce("n_name", F.lit("unknown")).alias("branch"), "section", "n")
 
 
-@query("SELECT n_nationkey::BIGINT AS node, n_name AS title, true AS merged FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_nationkey, n_name, false FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0")
+@query("SELECT 'root' AS node, 'WBS Root' AS title, '' AS parent, '0' AS code, 'merged' AS origin UNION ALL SELECT 'n' || n_nationkey, n_name, 'root', row_number() OVER (ORDER BY n_nationkey)::VARCHAR, 'merged' FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'n' || n_nationkey, n_name, '', 'old ' || n_nationkey, 'kept' FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0")
 def merge_preserved_nodes(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_name").alias("title"))
-    return tree.preserve(n.where("node % 3 = 0").withColumn("merged", F.lit(True)), n.where("node % 2 = 0").withColumn("merged", F.lit(False)))
+    """New trees under one root; nodes kept by hand follow with their old codes unless their id was made again."""
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("title"))
+    kept = n.where("ord % 2 = 0").withColumn("code", F.concat(F.lit("old "), "ord"))
+    out = tree.merged(n.where("ord % 3 = 0").select(F.lit("t").alias("doc"), "node", F.lit("").alias("parent"), "ord", "title"), kept.select(F.lit("t").alias("doc"), "node", F.lit("").alias("parent"), "title", "code"), root="root")
+    return out.select("node", "title", "parent", "code", "origin")
 
 
 @query("WITH r AS (SELECT o_custkey AS section, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) SELECT section, 2::BIGINT AS level, section AS ref, count(*) AS n_items FROM r GROUP BY section UNION ALL SELECT section, 3, item, 1 FROM r WHERE r <= 20")
@@ -123,69 +186,94 @@ def localwbs_rule_tree(spark, d):
     return tree.rule_tree(items(spark, d).select("section", "item"))
 
 
-@query(f"WITH {CODES} SELECT tr.code, tr.title, c_custkey AS item FROM tr LEFT JOIN customer ON c_nationkey = tr.id WHERE tr.level = 2 AND tr.code = '2.1'")
+@query(f"WITH RECURSIVE {CODES}, {BRIDGE}, f AS (SELECT * FROM tr WHERE code = '2.1.1' OR node = '2.1.1' ORDER BY ord, node LIMIT 1) SELECT f.code, f.title, br.item, coalesce(o_orderpriority, '') AS category FROM f LEFT JOIN br ON br.node = f.node LEFT JOIN orders ON o_orderkey = br.item")
 def trace_node(spark, d):
-    found = nodes(spark, d).where("level = 2 and (code = '2.1' or cast(id as string) = '2.1')")
-    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("id"), F.col("c_custkey").alias("item"))
-    return found.join(c, "id", "left").select("code", "title", "item")
+    """The first node of that id or code, its items, blank where no item has the id."""
+    found = nodes(spark, d).where("code = '2.1.1' or node = '2.1.1'").orderBy("ord", "node").limit(1)
+    rows = found.join(bridge(spark, d), "node", "left").join(items(spark, d).select("item", "category"), "item", "left")
+    return rows.select("code", "title", "item", F.coalesce("category", F.lit("")).alias("category"))
 
 
-@query(f"WITH {CODES} SELECT code, repeat('  ', level - 1) || rpad(title, greatest(length(title), 20)::INTEGER, ' ') || type AS line FROM tr")
+@query(f"WITH RECURSIVE {CODES} SELECT node, repeat('  ', level - 1) || CASE WHEN length(code) < 10 THEN rpad(code, 10, ' ') ELSE code END || ' ' || left(title, 50) AS line FROM tr")
 def inspect_wbs(spark, d):
-    return nodes(spark, d).select("code", F.concat(tree.indented(tree.padded(F.col("title"), 20), F.col("level") - 1), "type").alias("line"))
+    line = F.concat(tree.padded(F.col("code"), 10), F.lit(" "), F.substring("title", 1, 50))
+    return nodes(spark, d).select("node", tree.indented(line, (F.col("level") - 1).cast("int")).alias("line"))
 
 
 # validation, exports --------------------------------------------------------------
 
 
-_CHECKS = f"WITH {PS} SELECT (SELECT count(*) FROM ps WHERE c = 'G') AS garbled, (SELECT count(*) FROM ps WHERE c = 'I') AS image_only, (SELECT count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS empty_leaves"
+_PAGES_OF = "CASE WHEN ord % 7 = 0 THEN [] ELSE list_transform(range(ord % 7), lambda x: x * 3 + ord % 5) END"
+_ISSUES = f"""WITH RECURSIVE {PS}, {CODES}, {BRIDGE}, leaf AS (SELECT * FROM tr WHERE node NOT IN (SELECT parent FROM adj)),
+ issue AS (SELECT 'structure' AS category, 'warning' AS severity, 'Node ' || node || ' has no parent' AS message, node, false AS needs_review FROM tr WHERE parent = ''
+ UNION ALL SELECT 'source', 'info', 'EXPLICIT node ' || node || ' has no source pages', node, false FROM tr WHERE type = 'EXPLICIT' AND level > 1 AND ord % 7 = 0
+ UNION ALL SELECT 'coverage', 'warning', count(*) || ' garbled pages not analyzed', '', true FROM ps WHERE c = 'G' HAVING count(*) > 0 UNION ALL SELECT 'coverage', 'info', count(*) || ' scanned pages not analyzed', '', false FROM ps WHERE c = 'I' HAVING count(*) > 0
+ UNION ALL SELECT 'semantic', 'info', count(*) || ' leaf nodes have no work items', '', false FROM leaf WHERE node NOT IN (SELECT node FROM br) HAVING count(*) > 0)"""
+
+
+def whole_nodes(spark, d) -> DataFrame:
+    """The tree with source pages and work items."""
+    held = bridge(spark, d).groupBy("node").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("work_items"))
+    pages = F.when(F.col("ord") % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("ord") % 7 - 1), lambda x: x * 3 + F.col("ord") % 5))
+    return nodes(spark, d).withColumn("source_pages", pages).join(held, "node", "left")
+
+
+def _issues(spark, d) -> DataFrame:
+    quality = F.when(F.col("c") == "G", "GARBLED_TEXT").when(F.col("c") == "I", "IMAGE_ONLY").otherwise("NORMAL_TEXT")
+    return validate.issues(whole_nodes(spark, d), page_states(spark, d).select(quality.alias("quality")))
 
 
-@query(_CHECKS)
+@query(f"{_ISSUES} SELECT * FROM issue")
 def validate_wbs(spark, d):
-    pages = page_states(spark, d).agg(F.count_if(F.col("c") == "G").alias("garbled"), F.count_if(F.col("c") == "I").alias("image_only"))
-    leaves = table(spark, d, "customer").select(F.col("c_custkey").alias("section")).join(items(spark, d), "section", "left_anti").agg(F.count("*").alias("empty_leaves"))
-    return pages.crossJoin(leaves)  # one row each
+    return _issues(spark, d)
 
 
-@query(f"SELECT (garbled > 0)::BIGINT + (image_only > 0)::BIGINT + (empty_leaves > 0)::BIGINT AS issues, (garbled > 0)::BIGINT AS needs_review, true AS passed FROM ({_CHECKS})")
+@query(f"{_ISSUES} SELECT count(*) AS issues, count(*) FILTER (needs_review) AS needs_review, count(*) FILTER (severity = 'error') = 0 AS passed FROM issue")
 def validation_report(spark, d):
-    """Passed unless an issue is an error."""
-    found = F.array(F.struct((F.col("garbled") > 0).alias("on"), F.lit("warning").alias("severity"), F.lit(True).alias("review")), F.struct((F.col("image_only") > 0).alias("on"), F.lit("info").alias("severity"), F.lit(False).alias("review")), F.struct((F.col("empty_leaves") > 0).alias("on"), F.lit("info").alias("severity"), F.lit(False).alias("review")))
-    issues = validate_wbs(spark, d).select(F.explode(found).alias("i")).where("i.on").select("i.*")
-    return issues.agg(F.count("*").alias("issues"), F.count_if("review").alias("needs_review"), (F.count_if(F.col("severity") == "error") == 0).alias("passed"))
+    return validate.report(_issues(spark, d))
 
 
-@query(f"WITH {SEG}, {CODES} SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM seg) AS subdocs, (SELECT count(*) FROM tr) AS nodes")
+@query(f"WITH RECURSIVE {SEG}, {CODES} SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM ps WHERE c = 'G') AS garbled, (SELECT count(*) FROM ps WHERE c = 'I') AS image_only, (SELECT count(*) FROM seg) AS subdocs, (SELECT count(*) FROM ps WHERE c = 'N') AS sections, (SELECT count(*) FROM part WHERE regexp_matches(p_name, '[0-9]')) AS captioned_tables, (SELECT count(*) FROM tr) AS nodes")
 def coverage_report(spark, d):
-    one = table(spark, d, "documents").agg(F.count("*").alias("pages"))
-    return one.crossJoin(runs(spark, d).agg(F.count("*").alias("subdocs"))).crossJoin(nodes(spark, d).agg(F.count("*").alias("nodes")))  # one row each
+    pages = page_states(spark, d).agg(F.count("*").alias("pages"), F.count_if(F.col("c") == "G").alias("garbled"), F.count_if(F.col("c") == "I").alias("image_only"), F.count_if(F.col("c") == "N").alias("sections"))
+    named = table(spark, d, "part").where(F.col("p_name").rlike("[0-9]")).agg(F.count("*").alias("captioned_tables"))
+    return pages.crossJoin(runs(spark, d).agg(F.count("*").alias("subdocs"))).crossJoin(named).crossJoin(nodes(spark, d).where("level > 0").agg(F.count("*").alias("nodes")))  # one row each
 
 
-@query(f"WITH {CODES}, p AS (SELECT c_nationkey AS id, array_to_string(list_transform(list_sort(list(c_custkey))[1:5], lambda p: p + 1), ',') AS pages, count(*) AS n FROM customer GROUP BY 1) SELECT code, repeat('  ', level - 1) || title AS title, level::BIGINT AS level, type, coalesce(n, 0) AS n_items, coalesce(pages, '') AS pages FROM tr LEFT JOIN p ON p.id = tr.id AND level = 2")
+@query(f"WITH {SEG} SELECT doc, seq, CASE WHEN length(label || ' run') < 20 THEN rpad('  ' || label || ' run', 22, ' ') ELSE '  ' || label || ' run' END || '  p' || (start_page + 1) || '-p' || (end_page + 1) || '  (' || (end_page - start_page + 1) || 'p)  [' || label || ']' AS line FROM seg")
+def coverage_subdoc_lines(spark, d):
+    rows = runs(spark, d)
+    line = F.format_string("  %s  p%d-p%d  (%dp)  [%s]", tree.padded(F.concat("label", F.lit(" run")), 20), F.col("start_page") + 1, F.col("end_page") + 1, F.col("end_page") - F.col("start_page") + 1, "label")
+    return rows.select("doc", "seq", line.alias("line"))
+
+
+
+
+@query(f"WITH RECURSIVE {CODES}, {BRIDGE}, n AS (SELECT node, count(*) AS n FROM br GROUP BY 1) SELECT code AS \"Code\", repeat('  ', level - 1) || title AS \"Title\", level::BIGINT AS \"Level\", type AS \"Type\", coalesce(n, 0)::BIGINT AS \"Work Items\", array_to_string(list_transform(({_PAGES_OF})[1:5], lambda p: p + 1), ',') AS \"Source Pages\" FROM tr LEFT JOIN n USING (node)")
 def export_csv_rows(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("id"), "c_custkey")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("c_custkey"))
-    n = c.groupBy("id").agg(F.count("*").alias("n"))
-    pages = c.withColumn("r", first).where("r <= 5").groupBy("id").agg(tree.page_list(F.collect_list("c_custkey")).alias("pages"))
-    below = n.join(pages, "id").withColumn("level", F.lit(2))
-    rows = nodes(spark, d).join(below, ["id", "level"], "left")
-    return rows.select("code", tree.indented(F.col("title"), F.col("level") - 1).alias("title"), F.col("level").cast("long").alias("level"), "type", F.coalesce("n", F.lit(0)).alias("n_items"), F.coalesce("pages", F.lit("")).alias("pages"))
+    rows = export.csv_rows(whole_nodes(spark, d))
+    return rows.drop("ord").withColumn("Work Items", F.greatest("Work Items", F.lit(0)).cast("long"))
 
 
-@query(f"WITH {CODES} SELECT code, '{{\"code\":\"' || code || '\",\"title\":\"' || title || '\",\"level\":' || level || '}}' AS json FROM tr")
+@query(f"WITH RECURSIVE {CODES} SELECT code, '{{\"code\":\"' || code || '\",\"title\":\"' || title || '\",\"level\":' || level || ',\"parent\":\"' || parent || '\"}}' AS json FROM tr")
 def export_json_rows(spark, d):
-    return nodes(spark, d).select("code", F.to_json(F.struct("code", "title", "level")).alias("json"))
+    return nodes(spark, d).select("code", F.to_json(F.struct("code", "title", "level", "parent")).alias("json"))
 
 
-@query(f"WITH {CODES} SELECT code, repeat('    ', level) || code || ' ' || translate(title, '()[]', '') AS line FROM tr")
+@query(f"WITH RECURSIVE {CODES} SELECT ord, repeat('    ', level) || code || ' ' || replace(replace(replace(replace(title, '(', ''), ')', ''), '[', ''), ']', '') AS line FROM tr")
 def export_mermaid_lines(spark, d):
-    label = F.concat("code", F.lit(" "), F.translate("title", "()[]", ""))
-    return nodes(spark, d).select("code", tree.indented(label, F.col("level"), "    ").alias("line"))
+    return export.mermaid_rows(nodes(spark, d))
+
+
+_SLIM = "'{\"id\":\"' || o_orderkey || '\",\"desc\":\"' || o_orderstatus || '<\\/\",\"cat\":\"' || o_orderpriority || '\",\"pages\":[' || (o_custkey % 9 + 1) || '],\"sec\":\"' || coalesce(c_name, o_custkey::VARCHAR) || '\"}'"
 
 
-@query("SELECT c_custkey AS node, coalesce('[' || string_agg('{\"id\":' || o_orderkey || ',\"category\":\"' || o_orderpriority || '\"}', ',' ORDER BY o_orderkey) || ']', '[]') AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' GROUP BY 1")
+@query(f"WITH RECURSIVE {CODES}, {BRIDGE} SELECT tr.node, coalesce('[' || string_agg({_SLIM}, ',' ORDER BY item::VARCHAR) FILTER (o_orderkey IS NOT NULL) || ']', '[]') AS items FROM tr LEFT JOIN br USING (node) LEFT JOIN orders ON o_orderkey = item LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 6 <> 0 GROUP BY 1")
 def html_payload_nodes(spark, d):
-    own = items(spark, d).where("status <> 'P'").groupBy(F.col("section").alias("node")).agg(F.array_sort(F.collect_list(F.struct(F.col("item").alias("id"), "category"))).alias("items"))
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("node")).join(own, "node", "left")
-    return rows.select("node", F.replace(F.coalesce(F.to_json("items"), F.lit("[]")), F.lit("</"), F.lit("<\\/")).alias("items"))
+    """Each node's items in order; ids that no item has are left out."""
+    found = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.lit("").alias("subdoc_id"), F.col("o_custkey").cast("string").alias("section_id"), F.col("o_orderpriority").alias("category"), F.concat("o_orderstatus", F.lit("</")).alias("description"), F.array(F.col("o_custkey") % 9).alias("source_pages"))
+    sections = table(spark, d, "customer").where("c_custkey % 6 <> 0").select(F.col("c_custkey").cast("string").alias("section_id"), F.col("c_name").alias("title"))
+    none = sections.select(F.col("section_id").alias("subdoc_id"), "title").limit(0)
+    whole = whole_nodes(spark, d).withColumnsRenamed({"node": "node_id", "parent": "parent_id"})
+    payload, _, _ = export.payload(whole, found, sections, none)
+    return payload.select(F.col("node.id").alias("node"), F.replace(F.to_json("node.items"), F.lit("</"), F.lit("<\\/")).alias("items"))
