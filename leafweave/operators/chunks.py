@@ -1,55 +1,47 @@
-"""Greedy packing of text segments and table rows into pieces for a model."""
+"""Greedy packing of text segments and table rows into pieces for a model.
 
-from __future__ import annotations
+Packing is a left fold inside the JVM; its state is the finished pieces and the
+open one, which is no longer than the limit unless a single part is.
+"""
 
-import re
-from collections.abc import Iterable
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LIMIT = 2500
-#: A segment ends at a newline before an empty line, a heading, a table caption or a table row.
-BREAK = r"\n(?=\n|#{1,4}\s|表\s*\d+|\|)"
+from leafweave.functions import text as T
 
+LIMIT = 2500
+# Fixed value: a segment ends at a newline before an empty line, a heading, a table caption or a table row.
+BREAK = rf"\n(?=\n|#{{1,4}}{T.WS}|表{T.WS}*\p{{Nd}}+|\|)"
 
-def packed(parts: Iterable[str], limit: int) -> list[str]:
-    """Parts joined by newlines into stripped pieces of at most ``limit`` characters, longer parts whole."""
-    out: list[str] = []
-    held: list[str] = []
-    size, blank = 0, True
 
-    def flush() -> None:
-        if not blank:
-            out.append("\n".join(held).strip())
+def packed(parts: Column, limit: int) -> Column:
+    """Parts joined by newlines into stripped pieces of at most ``limit`` characters, longer parts whole; blank pieces go."""
+    none = F.array().cast("array<string>")
 
-    for part in parts:
-        if not blank and size + len(part) + 1 > limit:
-            flush()
-            held, size, blank = [], 0, True
-        held, size = ([*held, part], size + 1 + len(part)) if size else ([part], len(part))
-        blank = blank and not part.strip()
-    flush()
-    return out
+    def add(state: Column, part: Column) -> Column:
+        now = state["now"]
+        full = (F.length(now) + F.length(part) + 1 > limit) & (T.strip(now) != "")
+        grown = F.when(full | (now == ""), part).otherwise(F.concat(now, F.lit("\n"), part))
+        return F.struct(F.when(full, F.array_append(state["done"], T.strip(now))).otherwise(state["done"]).alias("done"), grown.alias("now"))
 
+    def end(state: Column) -> Column:
+        return F.when(T.strip(state["now"]) != "", F.array_append(state["done"], T.strip(state["now"]))).otherwise(state["done"])
 
-def chunks(text: str | None, limit: int = LIMIT) -> list[str]:
-    """Pieces of a text: segments are packed first; pieces still too long are packed by lines. Null counts as empty."""
-    text = text or ""
-    if len(text) <= limit:
-        return [text]
-    pieces = packed((s for s in re.split(BREAK, text) if s.strip()), limit)
-    out = [c for p in pieces for c in ([p] if len(p) <= limit else packed(p.split("\n"), limit))]
-    return out or [text[:limit]]
+    return F.aggregate(parts, F.struct(none.alias("done"), F.lit("").alias("now")), add, end)
 
 
 def chunk_text(text: Column, limit: int = LIMIT) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunks(t, limit))
+    """Pieces of a text: segments are packed first; pieces still too long are packed by lines.
 
-    return run(text)
+    A text within the limit is its own piece, unstripped; null counts as empty.
+    """
+    text = F.coalesce(text, F.lit(""))
+    segments = F.filter(F.split(text, BREAK, -1), lambda s: T.strip(s) != "")
+    pieces = F.transform(packed(segments, limit), lambda p: F.when(F.length(p) <= limit, F.array(p)).otherwise(packed(F.split(p, "\n", -1), limit)))
+    found = F.flatten(pieces)
+    return F.when(F.length(text) <= limit, F.array(text)).when(F.size(found) > 0, found).otherwise(F.array(F.substring(text, 1, limit)))
 
 
 def _line(cells: Column) -> Column:
@@ -74,21 +66,17 @@ def markdown(header: Column, rows: Column) -> Column:
 
 def chunk_table_rows(caption: Column, header: Column, rows: Column, limit: int = LIMIT) -> Column:
     """Pieces of a table, each with caption and header; none without a header or rows."""
+    none = F.array().cast("array<string>")
+    head = F.array_join(F.concat(F.when(caption != "", F.array(caption)).otherwise(none), head_lines(header)), "\n")
+
+    def add(state: Column, line: Column) -> Column:
+        now = state["now"]
+        full = (now != "") & (F.length(head) + 1 + F.length(now) + F.length(line) + 1 > limit)
+        lines = F.concat(F.when(full, "").otherwise(now), line, F.lit("\n"))
+        return F.struct(F.when(full, F.array_append(state["done"], now)).otherwise(state["done"]).alias("done"), lines.alias("now"))
+
+    def end(state: Column) -> Column:
+        return F.transform(F.array_append(state["done"], state["now"]), lambda x: T.strip(F.concat(head, F.lit("\n"), x)))
 
-    @F.pandas_udf("array<string>")
-    def run(heads: pd.Series, lines: pd.Series) -> pd.Series:
-        def pieces(head: str, each: Iterable[str]) -> list[str]:
-            groups: list[list[str]] = []
-            size = 0
-            for line in each:
-                if not groups or size + len(line) + 1 > limit:
-                    groups.append([])
-                    size = len(head) + 1
-                groups[-1].append(line)
-                size += len(line) + 1
-            return ["\n".join([head, *g]).strip() for g in groups]
-
-        return pd.Series([[] if h is None or r is None else pieces(h, r) for h, r in zip(heads, lines, strict=True)])
-
-    head = F.array_join(F.concat(F.when(caption != "", F.array(caption)).otherwise(F.array().cast("array<string>")), head_lines(header)), "\n")
-    return run(F.when(F.size(header) > 0, head), row_lines(header, rows))
+    made = F.aggregate(row_lines(header, rows), F.struct(none.alias("done"), F.lit("").alias("now")), add, end)
+    return F.when((F.size(header) > 0) & (F.size(rows) > 0), made).otherwise(none)

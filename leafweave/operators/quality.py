@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,26 +19,37 @@ def first_pass(pages: DataFrame) -> DataFrame:
 
 
 def resolve(states: DataFrame) -> DataFrame:
-    """(doc, page, c) with c in N, G, E, I: settles E and I by their neighbours.
+    """(doc, page, before, after) for (doc, page, c) with c in N, G, E, I: settles E and I by their neighbours.
 
     A page sees the next definite page as given and the previous one as already
-    settled, so a document is a left fold over its pages; documents are
-    independent and fold in parallel.
+    settled.  Documents are dealt once and read in page order; of the pages
+    before, only the last LOOK settled ones are held, so a document may have
+    any number of pages.
     """
+    dealt = states.select("doc", "page", "c").repartition("doc")
     ahead = Window.partitionBy("doc").orderBy("page").rowsBetween(1, LOOK)
     nx = F.first(F.when(F.col("c").isin("N", "G"), F.col("c")), ignorenulls=True).over(ahead)
-    pages = states.select("doc", "page", "c", nx.alias("nx")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("page", "c", "nx"))).alias("p"))
-
-    def step(acc, x):
-        recent = F.reverse(F.regexp_replace(F.substring(acc, -LOOK, LOOK), "[^NG]", ""))
-        prev, nxt = F.substring(recent, 1, 1), F.coalesce(x["nx"], F.lit(""))
-        empty = ((prev == "G") & nxt.isin("G", "")) | ((nxt == "G") & (prev == ""))
-        image = (prev == "G") | (nxt == "G")
-        c = F.when(x["c"] == "E", F.when(empty, "G").otherwise("N")).when((x["c"] == "I") & image, "G").otherwise(x["c"])
-        return F.concat(acc, c)
-
-    folded = pages.select("doc", "p", F.aggregate("p", F.lit(""), step).alias("out"))
-    return folded.select("doc", F.posexplode("p"), "out").select("doc", F.col("col.page").alias("page"), F.col("col.c").alias("before"), F.substring("out", F.col("pos") + 1, F.lit(1)).alias("after"))
+    pages = dealt.select("doc", "page", "c", nx.alias("nx")).sortWithinPartitions("doc", "page")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, recent = None, deque(maxlen=LOOK)
+        for batch in batches:
+            settled = []
+            for doc, c, nxt in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if doc != here:
+                    here = doc
+                    recent.clear()
+                if c in ("E", "I"):
+                    sides = {s for s in (next((x for x in reversed(recent) if x in ("N", "G")), None), nxt) if s}
+                    if c == "E":
+                        c = "G" if sides == {"G"} else "N"
+                    elif "G" in sides:
+                        c = "G"
+                recent.append(c)
+                settled.append(c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(settled, pa.string())], ["doc", "page", "before", "after"])
+
+    return pages.mapInArrow(run, "doc string, page long, before string, after string")
 
 
 def summary(resolved: DataFrame, by: str | None = None) -> DataFrame:

@@ -61,10 +61,29 @@ def chunk_table_rows(spark, d):
     return _tables(spark, d).select("table", F.posexplode(made).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-@query()
+_TRIM = r"regexp_replace({}, '^[\s\p{{Z}}\x1c-\x1f]+|[\s\p{{Z}}\x1c-\x1f]+$', '', 'g')"
+
+
+def _fold(parts: str) -> str:
+    """DuckDB SQL for a list of parts packed into one string, pieces apart by chr(2)."""
+    now = "split_part(a, chr(2), -1)"
+    return f"list_reduce(list_prepend('', {parts}), lambda a, s: CASE WHEN length({now}) + length(s) + 1 > 2500 AND {_TRIM.format(now)} <> '' THEN a || chr(2) || s WHEN {now} = '' THEN a || s ELSE a || chr(10) || s END)"
+
+
+def _split(packed: str) -> str:
+    return f"list_filter(list_transform(string_split({packed}, chr(2)), lambda x: {_TRIM.format('x')}), lambda x: x <> '')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text FROM documents), ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM d WHERE length(text) > 2500),
+ b AS (SELECT *, k > 1 AND ((line = '' AND k < n) OR regexp_matches(line, '^#{{1,4}}[\s\p{{Z}}]') OR (regexp_matches(line, '^#{{1,4}}$') AND k < n) OR regexp_matches(line, '^表[\s\p{{Z}}]*\p{{Nd}}') OR line LIKE '|%') AS new FROM ln),
+ g AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY k) AS seg FROM b), sg AS (SELECT doc_id, seg, string_agg(line, chr(10) ORDER BY k) AS s FROM g GROUP BY ALL),
+ p AS (SELECT doc_id, list(s ORDER BY seg) FILTER ({_TRIM.format('s')} <> '') AS parts FROM sg GROUP BY 1), one AS (SELECT doc_id, {_split(_fold("coalesce(parts, [])"))} AS cs FROM p),
+ two AS (SELECT doc_id, flatten(list_transform(cs, lambda c: CASE WHEN length(c) <= 2500 THEN [c] ELSE {_split(_fold("string_split(c, chr(10))"))} END)) AS cs FROM one),
+ al AS (SELECT d.doc_id, CASE WHEN length(text) <= 2500 THEN [text] WHEN len(cs) > 0 THEN cs ELSE [left(text, 2500)] END AS cs FROM d LEFT JOIN two USING (doc_id))
+ SELECT doc_id, generate_subscripts(cs, 1)::BIGINT - 1 AS chunk, unnest(cs) AS text FROM al""")
 def chunk_text(spark, d):
-    """Not in SQL: where a piece ends depends on where the one before it did."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(chunks.chunk_text(F.col("text"))).alias("chunk", "text"))
+    made = chunks.chunk_text(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(made).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
 @query("WITH i AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, '- ' || o_orderkey || ': ' || left(o_orderpriority || ' ' || o_orderstatus, 100) AS line FROM orders) SELECT o_custkey AS section, string_agg(line, chr(10) ORDER BY k) AS prompt FROM i WHERE k <= 50 GROUP BY 1 HAVING count(*) > 1")
