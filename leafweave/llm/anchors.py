@@ -4,13 +4,20 @@ A window is ``length`` consecutive symbols (bytes, or words) of one document.
 In each window the run of ``gram`` symbols with the least hash is its anchor,
 so equal windows have equal anchors at equal places.  Consecutive windows that
 share an anchor form a piece, about one for each half window.  A repeated
-window thus lies in two pieces whose anchors hash alike (their ``key``), and
-equal pieces repeat all their windows.  That leaves few pieces whose symbols
-must be looked at: those that share a key with a different piece.
+window thus lies in two pieces whose anchors hash alike (their ``key``).
+
+Hashes only choose what is looked at; symbols decide.  A scan task compares
+pieces that hash alike symbol by symbol and combines the equal ones, so that no
+group of copies leaves a task as more than one row.  Of what is left, every
+piece that shares its key with another one is fetched with its symbols and
+goes to the task of its key.  A key with too many pieces for a task is split
+by longer prefixes, that is by whole windows: an aggregate on their symbols
+finds the first of each.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +29,12 @@ from pyspark.sql import functions as F
 from leafweave.llm import textkit as tk
 from leafweave.llm import workdir
 
-#: Keys with more different pieces than this are resolved by aggregation, not in one task's memory.
-KEY_PIECES = 2000
+#: Keys with more pieces than this are split by whole windows, not held in one task.
+KEY_PIECES = 500
+#: Parts into which the rows of one window are dealt for the join with its first occurrence.
+SALTS = 16
+#: Bytes that are compared at once.
+_COMPARED = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -41,11 +52,15 @@ class Plan:
             raise ValueError("gram must be 1 to length, and length at most 511")
 
 
-def symbols(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[tk.Prefix, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, row limits in symbols, byte start and byte end of each symbol)."""
+def symbols(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[tk.Prefix, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, row limits in symbols, text, its byte start and byte end of each symbol).
+
+    The text of words has one blank between neighbours, so sequences of words
+    are equal if their bytes are.
+    """
     if unit == "byte":
         at = np.arange(len(data) + 1)
-        return tk.Prefix.of_bytes(data), offsets, at[:-1], at[1:]
+        return tk.Prefix.of_bytes(data), offsets, data, at[:-1], at[1:]
     starts, ends, before = tk.words(data, offsets)
     prefix = tk.Prefix.of_bytes(data)
     # a word too long for the hash is told apart by blocks of it
@@ -54,7 +69,25 @@ def symbols(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[tk.Prefix
         for s in range(starts[i], ends[i], tk.Prefix.LONGEST):
             e = min(s + tk.Prefix.LONGEST, ends[i])
             hashes[i : i + 1] = tk.mix(hashes[i : i + 1] * tk.U64(3) + prefix.hash(np.array([s]), np.array([e])))
-    return tk.Prefix(hashes), before, starts, ends
+    size = ends - starts
+    begins = np.cumsum(size + 1) - size - 1
+    text = np.full(int((size + 1).sum()), 0x20, dtype=np.uint8)
+    text[tk.spread(begins, size)] = data[tk.spread(starts, size)]
+    return tk.Prefix(hashes), before, text, begins, begins + size
+
+
+def alike(text: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether text[one : one + size] and text[two : two + size] are equal, for many at once."""
+    same = np.ones(len(size), dtype=bool)
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _COMPARED, side="right")))
+        part = slice(lo, hi)
+        differ = np.flatnonzero(text[tk.spread(one[part], size[part])] != text[tk.spread(two[part], size[part])])
+        same[lo + np.searchsorted(upto[part] - (upto[lo - 1] if lo else 0), differ, side="right")] = False
+        lo = hi
+    return same
 
 
 def pieces(plan: Plan, prefix: tk.Prefix, limits: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -95,36 +128,50 @@ PIECE = "key long, piece long, doc_id long, place long, copies int"
 def scan(docs: DataFrame, plan: Plan) -> DataFrame:
     """One row for each different piece of a scan task, and what needs no more looking at.
 
-    Equal pieces of one task are combined: a row with the first one's place
-    and their number.  ``copies`` 0 marks a further one, already known as
-    repeated; its key is its own, so that no key gathers them.
+    Equal pieces of one task, symbol by symbol, are combined: a row with the
+    first one's place and their number.  ``copies`` 0 marks a further one; its
+    key is its own, so that no key gathers them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
+        texts, base = [], 0
         for batch in batches:
             data, offsets = tk.flat(batch.column(1))
             ids = np.asarray(batch.column(0))
             for lo, hi in tk.slices(offsets):
-                prefix, limits, _, _ = symbols(plan.unit, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                prefix, limits, text, begin, end = symbols(plan.unit, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 row, start, count, key, piece = pieces(plan, prefix, limits)
-                found.append((key, piece, ids[lo:hi][row], start << 10 | count))
+                if len(row):
+                    first = limits[row] + start
+                    at = begin[first]
+                    found.append((key, piece, ids[lo:hi][row], start << 10 | count, base + at, end[first + count - 2 + plan.length] - at))
+                    texts.append(text)
+                    base += len(text)
         if not found:
             return
-        key, piece, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        del found
+        key, piece, doc, place, at, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        text = np.concatenate(texts)
+        del found, texts
         order = np.lexsort((place, doc, piece, key))
-        key, piece, doc, place = key[order], piece[order], doc[order], place[order]
+        key, piece, doc, place, at, size = key[order], piece[order], doc[order], place[order], at[order], size[order]
         if len(key) > 1:  # rows of the table that share an id count once
             own = np.ones(len(key), dtype=bool)
             own[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-            key, piece, doc, place = key[own], piece[own], doc[own], place[own]
+            key, piece, doc, place, at, size = key[own], piece[own], doc[own], place[own], at[own], size[own]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
-        at = np.flatnonzero(new)
+        more = np.flatnonzero(~new)
+        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))[more]
+        differ = size[more] != size[head]
+        differ[~differ] = ~alike(text, at[more[~differ]], at[head[~differ]], size[more[~differ]])
+        other = more[differ]  # hashes alike, symbols not: a piece of its own
+        piece[other] = tk.mix(piece[other] ^ tk.mix(doc[other].astype(np.uint64) + tk.mix(place[other].astype(np.uint64))))
         copies = np.zeros(len(key), dtype=np.int32)
-        copies[at] = np.diff(np.append(at, len(key)))
-        more = ~new
+        copies[new] = 1
+        np.add.at(copies, head[~differ], 1)
+        copies[other] = 1
+        more = more[~differ]
         key[more] = tk.mix(tk.mix(doc[more].astype(np.uint64)) + place[more].astype(np.uint64))
         for lo in range(0, len(key), 100_000):
             part = slice(lo, lo + 100_000)
@@ -136,26 +183,18 @@ def scan(docs: DataFrame, plan: Plan) -> DataFrame:
 def judged(found: DataFrame, plan: Plan) -> DataFrame:
     """Pieces that repeat or may share a window: key, doc_id, place, rivals, state.
 
-    ``rivals``: different pieces under the key.  ``state``: "gone" if all its
-    windows are to be removed; "open" if that depends on rivals; "known" if it
-    is gone and rivals must still see it.
+    ``rivals``: pieces under the key.  ``state``: "gone" if all its windows are
+    to be removed, as an equal piece of its task shows; "open" if that depends
+    on rivals; "known" if it is gone and rivals must still see it.
     """
-    alike = Window.partitionBy("key", "piece").orderBy("doc_id", "place")
-    under = Window.partitionBy("key")
-    again = (F.lag("doc_id").over(alike) == F.col("doc_id")) & (F.lag("place").over(alike) == F.col("place"))
-    seen = (
-        found.withColumn("again", F.coalesce(again, F.lit(False)))
-        .where("not again or copies = 0")
-        .withColumn("rank", F.row_number().over(alike))
-        .withColumn("total", F.sum("copies").over(alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("rivals", F.sum(((F.col("rank") == 1) & (F.col("copies") > 0)).cast("int")).over(under))
-    )
-    rival = F.col("rivals") > 1
-    first = F.col("rank") == 1
+    alike_ = Window.partitionBy("key", "piece").orderBy("doc_id", "place")
+    again = (F.lag("doc_id").over(alike_) == F.col("doc_id")) & (F.lag("place").over(alike_) == F.col("place"))
+    seen = found.withColumn("again", F.coalesce(again, F.lit(False))).where("not again or copies = 0").withColumn("rivals", F.sum((F.col("copies") > 0).cast("int")).over(Window.partitionBy("key")))
+    copy, rival = F.col("copies") == 0, F.col("rivals") > 1
     if plan.keep_first:
-        state = F.when((F.col("copies") == 0) | ~first, "gone").when(rival, "open")
+        state = F.when(copy, "gone").when(rival, "open")
     else:
-        state = F.when((F.col("copies") > 0) & first & rival, F.when(F.col("total") > 1, "known").otherwise("open")).when((F.col("copies") == 0) | (F.col("total") > 1), "gone")
+        state = F.when(copy, "gone").when(rival, F.when(F.col("copies") > 1, "known").otherwise("open")).when(F.col("copies") > 1, "gone")
     return seen.withColumn("state", state).where("state is not null").select("key", "doc_id", "place", "rivals", "state")
 
 
@@ -164,14 +203,14 @@ def by_document(docs: DataFrame) -> DataFrame:
     return docs.repartition(workdir.partitions(docs), "doc_id")
 
 
-WINDOWS = "key long, crowded boolean, doc_id long, start long, count int, known boolean, text binary, window long"
+WINDOWS = "key long, crowded boolean, doc_id long, start long, count int, known boolean, text binary"
 
 
 def opened(dealt: DataFrame, todo: DataFrame, plan: Plan) -> DataFrame:
     """Fetches the symbols of open and known pieces.
 
-    A piece of an uncrowded key gives one row with its bytes.  A piece of a
-    crowded key gives a row for each window with the window's hash instead.
+    A piece of an uncrowded key gives one row with its bytes, a piece of a
+    crowded key a row for each window with the window's.
     """
     per_doc = todo.where("state in ('open', 'known')").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "rivals", "state")).alias("asked"))
     both = dealt.join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked")
@@ -189,15 +228,14 @@ def opened(dealt: DataFrame, todo: DataFrame, plan: Plan) -> DataFrame:
             for i, doc in enumerate(ids):
                 own = data[offsets[i] : offsets[i + 1]]
                 a, b = edges[i], edges[i + 1]
-                prefix, _, starts, ends = symbols(plan.unit, own, np.array([0, len(own)]))
+                _, _, text, starts, ends = symbols(plan.unit, own, np.array([0, len(own)]))
                 for j in range(a, b):
                     s, n = int(place[j]) >> 10, int(place[j]) & 1023
                     if crowded[j]:
-                        at = np.arange(s, s + n)
-                        for t, h in zip(at.tolist(), prefix.hash(at, at + plan.length).view(np.int64).tolist(), strict=True):
-                            out.append((key[j], True, doc, t, 1, bool(known[j]), None, h))
+                        for t in range(s, s + n):
+                            out.append((key[j], True, doc, t, 1, bool(known[j]), text[starts[t] : ends[t - 1 + plan.length]].tobytes()))
                     else:
-                        out.append((key[j], False, doc, s, n, bool(known[j]), own[starts[s] : ends[s + n - 2 + plan.length]].tobytes(), None))
+                        out.append((key[j], False, doc, s, n, bool(known[j]), text[starts[s] : ends[s + n - 2 + plan.length]].tobytes()))
                 if len(out) > 20_000:
                     yield _windows(out)
                     out = []
@@ -208,19 +246,19 @@ def opened(dealt: DataFrame, todo: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _windows(rows: list[tuple]) -> pa.RecordBatch:
-    key, crowded, doc, start, count, known, text, window = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(crowded), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(known), pa.array(text, pa.binary()), pa.array(window, pa.int64())], ["key", "crowded", "doc_id", "start", "count", "known", "text", "window"])
+    key, crowded, doc, start, count, known, text = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(crowded), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(known), pa.array(text, pa.binary())], ["key", "crowded", "doc_id", "start", "count", "known", "text"])
 
 
 RANGE = "doc_id long, start long, stop long"
 
 
 def crowded_ranges(windows: DataFrame, plan: Plan) -> DataFrame:
-    """Starts of repeated windows under crowded keys, by a combining aggregate and a join that may split."""
-    w = windows.where("crowded").select("key", "window", "doc_id", "start", "known")
-    total = w.groupBy("key", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-    total = total.where("first <> last")
-    hit = w.join(total, ["key", "window"])
+    """Starts of repeated windows under crowded keys: an aggregate on the windows' symbols that combines before it shuffles, and a salted join."""
+    w = windows.where("crowded").select("text", "doc_id", "start", "known")
+    total = w.groupBy("text").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+    total = total.where("first <> last").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = w.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")).join(total, ["text", "salt"])
     if plan.keep_first:
         hit = hit.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
     else:
@@ -228,6 +266,24 @@ def crowded_ranges(windows: DataFrame, plan: Plan) -> DataFrame:
     return hit.select("doc_id", "start", (F.col("start") + 1).alias("stop"))
 
 
+def distinct(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """(each different text's first row by document and start, all other rows) of (key, doc_id, start, count, known, bytes)."""
+    first: dict[bytes, tuple] = {}
+    others = []
+    for row in sorted(rows, key=lambda r: r[1:3]):
+        if row[5] in first:
+            others.append(row)
+        else:
+            first[row[5]] = row
+    return list(first.values()), others
+
+
+def shared(rows: list[tuple]) -> list[tuple]:
+    """The rows whose key others have too."""
+    n = Counter(r[0] for r in rows)
+    return [r for r in rows if n[r[0]] > 1]
+
+
 def ranges(dealt: DataFrame, docs: DataFrame, plan: Plan, resolve) -> DataFrame:
     """Ranges of window starts whose windows are to be removed.
 

@@ -8,10 +8,11 @@ than the least common prefix between the places of the suffixes without their
 first symbol.  The arrays live in sequential files that each round reads and
 rewrites; they stay in memory while they are small.
 
-Only bytes that may be repeated get here: pieces that share an anchor with a
-different piece (see ``anchors``), cut down to windows whose hash occurs twice
-among them.  Hashes only choose what is inserted; two windows count as equal
-if the common prefix of their suffixes is a window long.
+Only bytes that may be repeated get here: pieces that share an anchor with
+another piece (see ``anchors``).  Pieces with equal bytes are one string; of
+strings that share an anchor with a different one, windows whose hash occurs
+twice are inserted.  Hashes only choose what is inserted; two windows count as
+equal if the common prefix of their suffixes is a window long.
 """
 
 from __future__ import annotations
@@ -161,8 +162,20 @@ def repeats(lcp: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
 
 def resolve(plan: anchors.Plan):
     def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, copies = anchors.distinct(rows)
+        twice = {r[5] for r in copies}
+        gone = [r for r in [*copies, *(r for r in first if r[5] in twice)] if not r[4]]
+        whole = tuple(np.array([f(r) for r in gone], dtype=np.int64) for f in (lambda r: r[1], lambda r: r[2], lambda r: r[2] + r[3]))
+        found = windows([(*r[:4], r[4] or r[5] in twice, r[5]) for r in anchors.shared(first)])
+        return tuple(np.concatenate(x) for x in zip(whole, found, strict=True))
+
+    def windows(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Repeated windows of different strings, without those of known ones."""
         rows.sort(key=lambda r: r[0])
         n = len(rows)
+        if not n:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none
         starts = np.cumsum([0] + [len(r[5]) for r in rows])
         data = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)
         count = np.array([r[3] for r in rows], dtype=np.int64)

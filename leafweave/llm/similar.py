@@ -36,7 +36,7 @@ _LOWER[0x41:0x5B] += 32
 
 def shingles(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; a row with fewer words has one shingle, a row without a word none."""
-    words, before, _, _ = anchors.symbols("word", _LOWER[data], offsets)
+    words, before, *_ = anchors.symbols("word", _LOWER[data], offsets)
     out, grams = [], words.fixed(shingle)
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
         if b - a >= shingle:

@@ -1,11 +1,14 @@
 """Substring deduplication by words, with prefix-partitioned suffix trees.
 
 Suffixes that can share a window lie under the same anchor (see ``anchors``),
-so tasks get whole anchors.  A task splits its suffixes by prefixes of growing
-length until each group fits its memory bound, sorts a group's suffixes and
-takes common-prefix lengths of neighbours; these are the leaves and internal
-nodes of the group's subtree.  An internal node at least a window deep is a
-maximal repeat, and the suffixes below it start with the same window.
+so tasks get whole anchors; anchors with too many suffixes for a task are split
+by prefixes as long as a window.  A task holds its strings once, as word
+numbers, and its suffixes as places in them.  It splits the suffixes by
+prefixes of growing length until each group fits its memory bound, sorts a
+group's suffixes and takes common-prefix lengths of neighbours; these are the
+leaves and internal nodes of the group's subtree.  An internal node at least a
+window deep is a maximal repeat, and the suffixes below it start with the same
+window.  Equal strings are one string of the tree, with its first owner.
 """
 
 from __future__ import annotations
@@ -23,34 +26,32 @@ from leafweave.llm import textkit as tk
 WINDOW_WORDS = 20
 #: Words of an anchor.
 GRAM_WORDS = 8
-#: Suffixes of one subtree, at most, unless they agree in a whole window.
-GROUP = 50_000
+#: Suffixes of one subtree, at most, unless they agree in a whole window; a subtree takes a word number for each word of their windows.
+GROUP = 20_000
 
 
-def prefix_groups(suffixes: np.ndarray, depth: int, limit: int = GROUP) -> Iterator[np.ndarray]:
-    """Row numbers of ``suffixes`` (a row of word ids each) by shared prefixes, long enough for the limit."""
-    todo = [(np.arange(len(suffixes)), 0)]
+def prefix_groups(text: np.ndarray, at: np.ndarray, depth: int, limit: int = GROUP) -> Iterator[np.ndarray]:
+    """Places of suffixes by shared prefixes, each as long as it must be for the limit, up to the depth."""
+    todo = [(at, 0)]
     while todo:
-        rows, at = todo.pop()
-        if len(rows) <= limit or at == depth:
+        rows, done = todo.pop()
+        if len(rows) <= limit or done == depth:
             yield rows
             continue
-        column = suffixes[rows, at]
+        column = text[rows + done]
         order = np.argsort(column, kind="stable")
         cuts = np.flatnonzero(np.diff(column[order])) + 1
-        todo += [(part, at + 1) for part in np.split(rows[order], cuts)]
+        todo += [(part, done + 1) for part in np.split(rows[order], cuts)]
 
 
-def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted order, common prefix of each with the one before): the tree in its array form."""
-    width = suffixes.shape[1]
-    order = np.argsort(np.ascontiguousarray(suffixes.astype(">u4")).view(f"S{4 * width}").ravel(), kind="stable")
+def subtree(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, common prefix of each with the one before, up to the depth): the tree in its array form."""
+    suffixes = text[at[:, None] + np.arange(depth)]
+    order = np.argsort(np.ascontiguousarray(suffixes.astype(">u4")).view(f"S{4 * depth}").ravel(), kind="stable")
     lcp = np.zeros(len(order), dtype=np.int64)
     differ = suffixes[order[1:]] != suffixes[order[:-1]]
-    # id 0 fills up behind a suffix's end and counts as no word
-    differ |= suffixes[order[1:]] == 0
-    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    return order, lcp
+    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
+    return at[order], lcp
 
 
 def internal_nodes(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -69,32 +70,27 @@ def internal_nodes(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 def resolve(plan: anchors.Plan):
     def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        vocabulary: dict[bytes, int] = {}
         length = plan.length
-        suffixes, owner, start = [], [], []
-        for i, (_, _, s, count, _, text) in enumerate(rows):
-            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in text.split()], dtype=np.uint32)
-            table = np.zeros((count, 2 * length), dtype=np.uint32)
-            for j in range(count):
-                table[j, : min(len(ids) - j, 2 * length)] = ids[j : j + 2 * length]
-            suffixes.append(table)
-            owner += [i] * count
-            start += range(s, s + count)
-        every, own, at = np.concatenate(suffixes), np.array(owner), np.array(start, dtype=np.int64)
-        doc = np.array([r[1] for r in rows], dtype=np.int64)[own]
-        gone = np.zeros(len(at), dtype=bool)
-        for group in prefix_groups(every, length):
-            order, lcp = subtree(every[group])
-            leaves, last = group[order], -1
-            for _, lo, hi in sorted(internal_nodes(lcp, length), key=lambda x: (x[1], -x[2])):  # parents first
-                if hi <= last:
-                    continue
-                last = hi
-                below = leaves[lo : hi + 1]
-                first = below[np.lexsort((at[below], doc[below]))[0]]
-                gone[below] = True
-                gone[first] = False
-        return doc[gone], at[gone], at[gone] + 1
+        first, copies = anchors.distinct(rows)
+        out = [tuple(np.array([f(r) for r in copies], dtype=np.int64) for f in (lambda r: r[1], lambda r: r[2], lambda r: r[2] + r[3]))]
+        strings = anchors.shared(first)
+        if strings:
+            numbers: dict[bytes, int] = {}
+            words = [[numbers.setdefault(w, len(numbers) + 1) for w in r[5].split(b" ")] for r in strings]
+            size = np.array([len(w) for w in words], dtype=np.int64)
+            count = np.array([r[3] for r in strings], dtype=np.int64)
+            text = np.fromiter((i for w in words for i in w), dtype=np.uint32, count=int(size.sum()))
+            begin = np.cumsum(size) - size
+            # by place in the text: the suffix's document and start
+            doc = np.repeat(np.array([r[1] for r in strings], dtype=np.int64), size)
+            start = np.arange(len(text)) + np.repeat(np.array([r[2] for r in strings], dtype=np.int64) - begin, size)
+            for group in prefix_groups(text, tk.spread(begin, count), length):
+                leaves, lcp = subtree(text, group, length)
+                for _, lo, hi in internal_nodes(lcp, length):
+                    below = leaves[lo : hi + 1]
+                    below = below[np.lexsort((start[below], doc[below]))][1:]  # all but the first
+                    out.append((doc[below], start[below], start[below] + 1))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     return solve
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafweave.llm import collection_bwt, decontaminate, kd_shards, packing, pii, quality_rules, similar, simhash, suffix_trees, token_files, tokens, warc, workdir
+from leafweave.llm import anchors, collection_bwt, decontaminate, kd_shards, packing, pii, quality_rules, similar, simhash, suffix_trees, token_files, tokens, warc, workdir
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, start long, key string"
@@ -40,7 +40,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("limit", [2000, 1])
+@pytest.mark.parametrize("limit", [500, 1])
 def test_suffix_trees(table, empty, limit):
     seen, want = set(), {}
     for i, t, *_ in rows():
@@ -57,7 +57,7 @@ def test_suffix_trees(table, empty, limit):
     assert suffix_trees.dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [2000, 1])
+@pytest.mark.parametrize("limit", [500, 1])
 def test_collection_bwt(table, empty, limit):
     window, counts = 40, Counter()
     data = {i: (t or "").encode() for i, t, *_ in rows()}
@@ -75,6 +75,33 @@ def test_collection_bwt(table, empty, limit):
     assert collection_bwt.dedup(empty).count() == 0
 
 
+def test_equal_spans_are_told_by_symbols(monkeypatch):
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 99, 5000).astype(np.uint8)
+    one, two, size = (rng.integers(0, 4900, 3000) for _ in range(3))
+    size = size % 12
+    want = [bytes(text[a : a + n]) == bytes(text[b : b + n]) for a, b, n in zip(one, two, size)]
+    for most in (1, 100, 1 << 20):
+        monkeypatch.setattr(anchors, "_COMPARED", most)
+        assert anchors.alike(text, one, two, size).tolist() == want
+
+
+@pytest.mark.parametrize("limit", [1, 7, 10_000])
+def test_subtrees_by_prefixes(limit):
+    """Groups of any size give the classes that sorting all windows gives."""
+    rng = np.random.default_rng(3)
+    text, depth = rng.integers(1, 4, 400).astype(np.uint32), 5
+    at = np.arange(len(text) - depth + 1)
+    want = Counter(tuple(text[i : i + depth]) for i in at)
+    got = {}
+    for group in suffix_trees.prefix_groups(text, at, depth, limit):
+        leaves, lcp = suffix_trees.subtree(text, group, depth)
+        for deep, lo, hi in suffix_trees.internal_nodes(lcp, depth):
+            got[tuple(text[leaves[lo] : leaves[lo] + depth])] = hi - lo + 1
+            assert deep == depth
+    assert got == {k: n for k, n in want.items() if n > 1}
+
+
 def test_bwt_order():
     random.seed(3)
     for _ in range(60):
