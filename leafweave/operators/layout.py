@@ -29,3 +29,12 @@ def mark(blocks: DataFrame, found: DataFrame) -> DataFrame:
     fam = found.select("doc", "role", "pattern", F.explode(F.sequence("first_page", "last_page")).alias("page")).distinct()
     rows = blocks.withColumn("pattern", T.normalize_pattern(F.col("text")))
     return rows.join(fam.withColumnRenamed("role", "family_role"), ["doc", "page", "pattern"], "left").withColumn("role", F.coalesce("family_role", F.lit("BODY"))).drop("family_role", "pattern")
+
+
+def family_blocks(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, family, role, pattern, page, ord): the blocks of each family, numbered through a document, headers before footers, by first occurrence."""
+    runs = found.select("doc", "role", "pattern", F.explode(F.sequence("first_page", "last_page")).alias("page")).distinct()
+    rows = candidates.withColumn("pattern", T.normalize_pattern(F.col("text"))).join(runs, ["doc", "role", "pattern", "page"], "left_semi")
+    first = rows.groupBy("doc", "role", "pattern").agg(F.min(F.struct("page", "ord")).alias("at"))
+    order = Window.partitionBy("doc").orderBy((F.col("role") != "RUNNING_HEADER").cast("int"), "at", "pattern")
+    return rows.join(first.select("doc", "role", "pattern", F.row_number().over(order).alias("family")), ["doc", "role", "pattern"]).select("doc", "family", "role", "pattern", "page", "ord")

@@ -27,12 +27,16 @@ def interval_ends(titles: DataFrame) -> DataFrame:
     return titles.withColumn("end_page", end).withColumn("next_ord", F.coalesce(F.lead("ord").over(w), F.lit(-1)))
 
 
-def merge_fragments(fragments: DataFrame) -> DataFrame:
-    """Fragments (doc, page, t, signature, captioned) to tables: a fragment joins the one before with the same signature on the same or the next page, unless its page has a caption."""
+def fragment_groups(fragments: DataFrame) -> DataFrame:
+    """Adds grp to fragments (doc, page, t, signature, captioned): one joins the one before with the same signature on the same or the next page, unless its page has a caption."""
     w = Window.partitionBy("doc").orderBy("page", "t")
     gap = F.col("page") - F.lag("page").over(w)
     same = (F.lag("signature").over(w) == F.col("signature")) & (F.col("signature") != "") & gap.isin(0, 1) & ~F.col("captioned")
-    rows = fragments.withColumn("grp", F.sum(F.when(same, 0).otherwise(1)).over(w))
-    agg = rows.groupBy("doc", "grp").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").alias("n_fragments"), F.countDistinct("signature").alias("kinds"))
+    return fragments.withColumn("grp", F.sum(F.when(same, 0).otherwise(1)).over(w))
+
+
+def merge_fragments(fragments: DataFrame) -> DataFrame:
+    """Fragments to tables: doc, grp, page_start, page_end, n_fragments, cross_page, confidence."""
+    agg = fragment_groups(fragments).groupBy("doc", "grp").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").alias("n_fragments"), F.countDistinct("signature").alias("kinds"))
     conf = F.when(F.col("n_fragments") == 1, 1.0).when(F.col("kinds") == 1, 0.95).otherwise(0.7)
     return agg.withColumn("cross_page", F.col("page_end") > F.col("page_start")).withColumn("confidence", conf).drop("kinds")
