@@ -252,5 +252,5 @@ def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the whole table."""
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafweave.llm import collection_bwt, decontaminate, kd_shards, packing, pii, quality_rules, simhash, suffix_trees, token_files, warc
+from leafweave.llm import collection_bwt, decontaminate, kd_shards, packing, pii, quality_rules, simhash, sql, suffix_trees, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others aren't expressible: edit distances, subword ids, fitted classifiers, files, trees of medians, XXH64."""
+    return {"op5_suffix_tree_dedup": sql.substring_dedup(), "op6_collection_bwt_dedup": sql.suffix_array_dedup(), "op10_distribution_divergence": sql.quality()}
