@@ -8,7 +8,9 @@ and how likely each pattern of votes is right, and these soft labels train the
 final span classifier, a logistic regression on a span's own features.  It
 needs no more than the number of candidates by votes and features, a table of
 bounded size counted over all documents.  Base spans always stay; a looser
-candidate becomes a span if the classifier is sure.
+candidate becomes a span if the classifier is sure.  Looser candidates are
+written around a filter (numbers in other groups, "name [at] host [dot] org",
+"10[.]0[.]0[.]1"), or are keys and passwords, a kind that has no strict form.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of all spans, in the order in which they are listed.
+ALL_KINDS = (*KINDS, "secret")
 #: Probability from which a looser candidate is a span.
 SURE = 0.9
 #: Code points in front of a span that the context labeler sees.
@@ -37,6 +41,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 _LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])")
+_LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(](?:\.|dot|DOT)[\])] ?[0-9]{1,3}){3}(?![0-9.])")
+_LOOSE_CARD = re.compile(r"(?<![0-9./_])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9./_])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?:ghp_|sk_live_|xoxb-)[A-Za-z0-9-]{16,})")
+_ASSIGNED = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})", re.I)
 
 # Top-level domains, card issuer prefixes, country calling codes.
 _TLDS = frozenset("com org net edu gov io info biz eu us uk de fr es it nl ch at be pt pl se no dk fi ie ca au nz jp cn in br mx".split())
@@ -46,8 +54,11 @@ _CUES = {
     "email": re.compile(r"mail|contact|write|reach|schreib|écri|correo", re.I),
     "ip": re.compile(r"\bip\b|server|host|login|from|logged|adress|address|client", re.I),
     "card": re.compile(r"card|visa|credit|pay|karte|carte|tarjeta", re.I),
+    "secret": re.compile(r"passw|pwd|secret|token|key|login", re.I),
     "phone": re.compile(r"phone|call|tel|fax|mobil|ring|appel|llam|ruf", re.I),
 }
+_KEY_HEADS = ("AKIA", "ASIA", "ghp_", "sk_live_", "xoxb-")
+_PLACEHOLDERS = frozenset("changeme example required password optional string secret token default yourpassword username".split())
 _AGAINST = re.compile(r"version|isbn|license|section|chapter|figure|\bno\.|\bv$", re.I)
 
 
@@ -104,34 +115,49 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def loose_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
-    """Candidates of the looser patterns that touch no base span."""
+    """Candidates of the looser patterns that touch no base span and no candidate before them."""
     taken = [s for spans in base.values() for s in spans]
     found = []
     if _DIGIT.search(text):
         found += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text)]
-    if "at" in text or "AT" in text:
-        if "[" in text or "(" in text:
+        found += [("card", *m.span()) for m in _LOOSE_CARD.finditer(text)]
+    if "[" in text or "(" in text:
+        found += [("ip", *m.span()) for m in _LOOSE_IP.finditer(text) if all(int(x) <= 255 for x in re.findall("[0-9]+", m.group()))]
+        if "at" in text or "AT" in text:
             found += [("email", *m.span()) for m in _LOOSE_EMAIL.finditer(text)]
-    return [f for f in found if all(f[2] <= a or f[1] >= b for a, b in taken)]
+    found += [("secret", *m.span()) for m in _KEY.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
+    out = []
+    for f in found:
+        if all(f[2] <= a or f[1] >= b for a, b in taken):
+            out.append(f)
+            taken.append(f[1:])
+    return out
 
 
 def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int, int, int]:
     """Of the pattern labeler, the gazetteer and the context labeler: 1, -1, or 0 for none."""
     span = text[start:end]
     digits = "".join(c for c in span if c in "0123456789")
+    front = text[max(0, start - CONTEXT) : start]
+    context = 1 if _CUES[kind].search(front) else -1 if _AGAINST.search(front) else 0
+    if kind == "secret":
+        mixed = bool(digits) and any(c.isalpha() for c in span)
+        known = 1 if span.startswith(_KEY_HEADS) or (len(span) in (32, 40, 64) and re.fullmatch("[0-9a-fA-F]+", span)) else -1 if span.lower().strip("<>*.") in _PLACEHOLDERS else 0
+        return 1 if _KEY.fullmatch(span) else 0 if mixed else -1, known, context
     if kind == "email":
         known = 1 if re.split(r"[.\])\s]+", span.lower())[-1] in _TLDS else -1
     elif kind == "ip":
-        known = -1 if span.split(".")[0] in ("0", "127", "255") else 1
+        known = -1 if re.split("[^0-9]", span)[0] in ("0", "127", "255") else 1
     elif kind == "card":
         known = 1 if digits.startswith(_ISSUERS) else -1
     elif span.startswith("+"):
         known = 1 if digits.startswith(_COUNTRIES) else -1
     else:
         known = 1 if digits[:1] not in ("0", "1") else -1
-    front = text[max(0, start - CONTEXT) : start]
-    context = 1 if _CUES[kind].search(front) else -1 if _AGAINST.search(front) else 0
-    return (1 if strict else 0 if len(set(digits)) > 2 or kind == "email" else -1), known, context
+    regular = 1 if strict else -1 if len(set(digits)) <= 2 and kind != "email" else -1 if kind == "card" and not luhn(digits) else 0
+    return regular, known, context
 
 
 FEATURES = 8
@@ -142,6 +168,10 @@ def features(text: str, kind: str, start: int, end: int, strict: bool) -> int:
     span = text[start:end]
     digits = sum(c in "0123456789" for c in span)
     front = text[max(0, start - CONTEXT) : start]
+    if kind == "secret":
+        strict = bool(_KEY.fullmatch(span)) or (bool(digits) and digits < len(span))
+    elif kind == "card":
+        strict = strict or luhn("".join(c for c in span if c in "0123456789"))
     flags = (strict, bool(_CUES[kind].search(front)), bool(_AGAINST.search(front)), start == 0 or text[start - 1].isspace(), end == len(text) or not text[end].isalnum(), digits * 2 > len(span), any(c in " -()[]" for c in span), len(span) > 16)
     return sum(bool(f) << i for i, f in enumerate(flags))
 
@@ -188,7 +218,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
     """Reliabilities and classifier weights by kind, from all candidates of all texts.
 
     Only counts by (kind, votes, features) leave the executors: at most
-    4 x 27 x 256 rows whatever the input.
+    5 x 27 x 256 rows whatever the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +229,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
                     base = base_spans(text)
                     every = [(k, s, e, True) for k, spans in base.items() for s, e in spans] + [(*f, False) for f in loose_spans(text, base)]
                     for k, s, e, strict in every:
-                        seen[KINDS.index(k), votes(text, k, s, e, strict), features(text, k, s, e, strict)] += 1
+                        seen[ALL_KINDS.index(k), votes(text, k, s, e, strict), features(text, k, s, e, strict)] += 1
         rows = [(k, *v, f, n) for (k, v, f), n in seen.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["kind", "a", "b", "c", "bits", "n"])
@@ -207,7 +237,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind long, a long, b long, c long, bits long, n long")
     table = counted.groupBy("kind", "a", "b", "c", "bits").agg(F.sum("n").alias("n")).orderBy("kind", "a", "b", "c", "bits").collect()
     model: dict = {}
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(ALL_KINDS):
         own = [r for r in table if r["kind"] == k]
         if not own:
             continue
@@ -225,12 +255,12 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict:
 def spans(text: str, model: dict) -> list[tuple[str, int, int]]:
     """Base spans and what the classifier adds, by kind as listed, then start."""
     base = base_spans(text)
-    out = {k: list(v) for k, v in base.items()}
+    out = {k: list(base.get(k, ())) for k in ALL_KINDS}
     for kind, s, e in loose_spans(text, base):
         w = model.get(kind, {}).get("weights")
         if w is not None and 1 / (1 + np.exp(-np.dot(w, _row(features(text, kind, s, e, False))))) >= SURE:
             out[kind].append((s, e))
-    return [(k, s, e) for k in KINDS for s, e in sorted(out[k])]
+    return [(k, s, e) for k in ALL_KINDS for s, e in sorted(out[k])]
 
 
 def _joined(found: list[tuple[str, int, int]]) -> str:
@@ -238,19 +268,23 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base (joined) and spans (joined) of every whole text; null counts as empty."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (joined) and n_spans of every whole text.
+
+    A null text counts as empty; null ids stay; repeated rows are read alike;
+    an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
-                rows.append((*[len(base[k]) for k in KINDS], _joined([(k, s, e) for k in KINDS for s, e in base[k]]), _joined(spans(text or "", model))))
-            *n, b, s = zip(*rows, strict=True) if rows else ((),) * 6
+                rows.append((*[len(base[k]) for k in KINDS], _joined([(k, s, e) for k in KINDS for s, e in base[k]]), _joined(own := spans(text or "", model)), len(own)))
+            *n, b, s, total = zip(*rows, strict=True) if rows else ((),) * 7
             digest = [hashlib.sha256(x.encode()).hexdigest() for x in b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in n], pa.array(digest, pa.string()), pa.array(s, pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in n], pa.array(digest, pa.string()), pa.array(s, pa.string()), pa.array(total, pa.int64())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(text: str, model: dict) -> str:
@@ -266,7 +300,7 @@ def redacted(text: str, model: dict) -> str:
 
 
 def redact(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """All columns, with personal data in the text replaced; a null text stays null."""
+    """All columns, with personal data in the text replaced; a null text stays null, repeated rows change alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

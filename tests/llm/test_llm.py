@@ -1,5 +1,6 @@
 """Operators against brute force on small tables with awkward rows."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -339,6 +340,73 @@ def test_pii(spark, table, empty):
     model = pii.fit(cases)
     assert [r.text for r in pii.redact(cases, model).orderBy("doc_id").collect()] == ["mail [EMAIL] or call [PHONE]", None, ""]
     assert pii.find(empty, pii.fit(empty)).count() == 0 and pii.find(table, model).count() == table.count()
+    texts = {1: "mail a.b@c.com or call +1 (743) 555-3824, 10.0.0.1", 2: None, 3: "", 4: "no", 5: "4111 1111 1111 1111 " * 2_000}
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), {}).collect()}
+    for i, t in texts.items():
+        want = {k: [m.span() for m in re.finditer(p, t or "") if right(k, m.group())] for k, p in PATTERNS.items()}
+        joined = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in want[k])
+        r = got[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(want[k]) for k in pii.KINDS) and r.spans == joined and r.n_spans == sum(map(len, want.values()))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def labelled(rng, n):
+    """Texts with one loose candidate each: (text, kind, start, end, whether it is personal data or a secret)."""
+    pick = rng.choice
+    digits = lambda k: "".join(pick("0123456789") for _ in range(k))
+    word = lambda: "".join(pick("abcdefgh") for _ in range(6))
+
+    def card():
+        while True:
+            d = "4" + digits(15)
+            if pii.luhn(d):
+                return pick("./_").join(d[k : k + 4] for k in range(0, 16, 4))
+
+    make = {
+        ("email", True): lambda: (pick(["write to ", "mail me: ", "contact "]), f"{word()} [at] {word()} [dot] {pick(['com', 'org', 'de'])}"),
+        ("email", False): lambda: (pick(["look (at) it, ", "version "]), f"{word()} [at] {word()} [dot] {word()}"),
+        ("ip", True): lambda: (pick(["server ", "host ", "login from "]), "[.]".join(str(rng.randint(11, 250)) for _ in range(4))),
+        ("ip", False): lambda: (pick(["version ", "section "]), "[.]".join(["0", *(str(rng.randint(0, 9)) for _ in range(3))])),
+        ("card", True): lambda: (pick(["card ", "visa ", "pay with "]), card()),
+        ("card", False): lambda: (pick(["section ", "isbn "]), "/".join(["9123", digits(4), digits(4), digits(4)])),
+        ("phone", True): lambda: (pick(["call ", "tel ", "phone: "]), f"{pick('2345678')}{digits(2)}-{digits(3)}-{digits(4)}"),
+        ("phone", False): lambda: (pick(["version ", "no. "]), f"0{digits(2)}.{digits(3)}.{digits(4)}"),
+        ("secret", True): lambda: pick([("password=", f"{word()}{digits(6)}"), ("the key ", "AKIA" + "".join(pick("ABCDEFG234567") for _ in range(16)))]),
+        ("secret", False): lambda: ("password: ", pick(["changeme", "required", "optional"])),
+    }
+    out = []
+    for _ in range(n):
+        (kind, good), f = pick(list(make.items()))
+        head, span = f()
+        before = " ".join(word() for _ in range(9)) + " "
+        out.append((before + head + span + " " + word(), kind, len(before + head), len(before + head + span), good))
+    return out
+
+
+def test_added_spans_on_held_out_texts(spark):
+    """Precision and recall of what the classifier adds, trained without labels on other texts."""
+    rng = random.Random(11)
+    train, held_out = labelled(rng, 2500), labelled(rng, 1500)
+    strict = [f"mail {k}.a@b.com card 4111 1111 1111 1111 server 10.1.2.{k} call +1 743 555 38{k:02d}" for k in range(60)]
+    model = pii.fit(spark.createDataFrame([(t,) for t in [*strict, *(x[0] for x in train)]], "text string"))
+    assert set(model) == set(pii.ALL_KINDS)
+    for kind in pii.ALL_KINDS:
+        added = [((k, s, e) in pii.spans(t, model), good) for t, k, s, e, good in held_out if k == kind]
+        right = sum(a and g for a, g in added)
+        assert right >= 0.9 * sum(g for _, g in added), kind  # recall
+        assert right >= 0.95 * sum(a for a, _ in added), kind  # precision
+
+
+def test_em_finds_reliabilities():
+    """Votes drawn from known reliabilities: the estimates come near them."""
+    rng = random.Random(5)
+    sure, counts = (0.95, 0.8, 0.65), Counter()
+    for _ in range(20_000):
+        truth = 1 if rng.random() < 0.6 else -1
+        counts[tuple(truth if rng.random() < p else -truth for p in sure)] += 1
+    prior, table, post = pii.em(counts, rounds=300)
+    assert abs(prior - 0.6) < 0.05 and all(abs(table[k, 1, 2] - p) < 0.05 and abs(table[k, 0, 0] - p) < 0.05 for k, p in enumerate(sure))
+    assert post[1, 1, 1] > 0.95 and post[-1, -1, -1] < 0.05
 
 
 def test_decontaminate(spark, table, empty):
