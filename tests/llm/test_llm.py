@@ -500,17 +500,53 @@ def test_decontaminate_short(size):
     assert found_share(size, replaced, 150) >= 0.97
 
 
-def test_shards(table, empty):
-    got = kd_shards.shard(table, shards=4).collect()
-    assert len(got) == table.count()
+@pytest.mark.parametrize("shards", [1, 4, 7])
+def test_shards(spark, table, empty, shards):
+    docs, plain = with_nulls(spark, table)
+    got = kd_shards.shard(docs, shards=shards).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t in plain)
+    assert all(r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < shards for r in got)
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r)
     for own in by.values():
         assert sorted(r.slot for r in own) == list(range(len(own)))
-    sizes = [sum(r.size for r in own) for own in by.values()]
-    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
-    assert kd_shards.shard(empty, shards=4).count() == 0
+    assert kd_shards.shard(empty, shards=shards).count() == 0
+
+
+def test_shards_are_near_equal(spark):
+    rng = random.Random(4)
+    docs = [(i, "x" * min(4000, int(rng.lognormvariate(5, 1))), rng.choice(["en", "de"]), f"s{rng.randrange(9)}") for i in range(6000)] + [(10_000 + i, "equal text " * 20, "en", "s1") for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(6)
+    total = sum(len(t) + 1 for _, t, *_ in docs)
+    for given in ({"shards": 8}, {"target_bytes": total // 20}):
+        sums = Counter()
+        for r in kd_shards.shard(frame, **given).collect():
+            sums[r.shard] += r.size
+        n = given.get("shards") or -(-total // given["target_bytes"])
+        assert len(sums) == n and max(sums.values()) - min(sums.values()) <= 0.02 * total / n + 2 * 4001
+
+
+def test_tree_cuts_at_weighted_medians(spark):
+    """Against a plain recursion that sorts: same cuts, as far as the histograms promise."""
+    rng = np.random.default_rng(8)
+    keys = rng.integers(0, 1 << 62, (2, 3000))
+    sizes = rng.integers(1, 500, 3000)
+    rows_ = spark.createDataFrame([(int(s), int(a), int(b)) for s, a, b in zip(sizes, *keys)], "size long, k0 long, k1 long").repartition(4)
+    tree = kd_shards.grow(rows_, 2, 8)
+    leaf = tree.leaf(list(keys))
+    for node in np.flatnonzero(tree.left >= 0):
+        inside = np.ones(len(sizes), dtype=bool)  # rows under the node, by walking up
+        at, child = int(node), None
+        while at:
+            parent = int(np.flatnonzero((tree.left >= 0) & ((tree.left == at) | (tree.left == at - 1)) & (tree.left <= at))[-1])
+            side = keys[tree.dim[parent]] > tree.cut[parent]
+            inside &= side if at > tree.left[parent] else ~side
+            at = parent
+        total, below = sizes[inside].sum(), sizes[inside & (keys[tree.dim[node]] <= tree.cut[node])].sum()
+        assert abs(below - total / 2) <= 500 + kd_shards.EXACT * total
+    assert len(set(leaf)) == 8
 
 
 def test_warc(spark):
