@@ -74,7 +74,7 @@ class BKTree:
         self.values: list[int] = []
 
     def insert(self, value: int) -> int:
-        """Adds a value that the tree doesn't hold; its number."""
+        """Adds a value, which is its own parent's child at distance 0 if the tree holds it; its number."""
         new = len(self.values)
         self.values.append(value)
         self.children.append({})

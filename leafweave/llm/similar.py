@@ -77,41 +77,66 @@ def similarity(one: np.ndarray, two: np.ndarray) -> float:
     return both / (len(one) + len(two) - both)
 
 
+class _Joined:
+    """Which of some numbers are connected; ``first`` is the least of a connected set."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def first(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((self.first(i), self.first(j)))
+        self.up[b] = a
+
+
 def connected(sets: list[np.ndarray], prints: list[int], least: float = SIMILARITY, radius: int = simhash.RADIUS) -> list[int]:
-    """For each set, the first set that candidate pairs of at least that similarity connect it to."""
-    root = list(range(len(sets)))
-    members = [[i] for i in root]
+    """For each set, the first set that candidate pairs of at least that similarity connect it to.
 
-    def meet(i: int, others: list[int]) -> None:
-        failed: set[int] = set()
-        for j in others:
-            if root[j] != root[i] and j not in failed:
-                a, b = sorted((len(sets[i]), len(sets[j])))
-                if a >= least * b and similarity(sets[i], sets[j]) >= least:
-                    low, high = sorted((root[i], root[j]))
-                    for k in members[high]:
-                        root[k] = low
-                    members[low] += members[high]
-                    members[high] = []
-                else:
+    A bucket holds its members by what they are connected to, so a set is
+    compared with members of other connected sets only, until one is alike.
+    """
+    joined = _Joined(len(sets))
+
+    def meet(i: int, bucket: dict[int, list[int]], failed: set[int]) -> None:
+        for r in list(bucket):
+            if (now := joined.first(r)) != r:  # has grown together with another
+                bucket.setdefault(now, []).extend(bucket.pop(r))
+        for members in [m for r, m in bucket.items() if r != joined.first(i)]:
+            for j in members:
+                if j not in failed:
+                    a, b = sorted((len(sets[i]), len(sets[j])))
+                    if a >= least * b and similarity(sets[i], sets[j]) >= least:
+                        joined.join(i, j)
+                        break
                     failed.add(j)
 
-    buckets: dict[tuple[int, int], list[int]] = {}
+    buckets: dict[tuple[int, int], dict[int, list[int]]] = {}
+    trees: dict[int, tuple[simhash.BKTree, list[list[int]]]] = {}  # one for each connected set
     for i, own in enumerate(sets):
+        failed: set[int] = set()
         for place in enumerate(bands(own).tolist() if len(own) else ()):
-            meet(i, bucket := buckets.setdefault(place, []))
-            bucket.append(i)
-    tree, nodes, at = simhash.BKTree(), {}, []
-    for i, value in enumerate(prints):
-        if value in nodes:
-            meet(i, nodes[value])
-        for node in tree.within(value, radius):
-            meet(i, at[node])
-        if value not in nodes:
-            tree.insert(value)
-            at.append(nodes.setdefault(value, []))
-        nodes[value].append(i)
-    return root
+            bucket = buckets.setdefault(place, {})
+            meet(i, bucket, failed)
+            bucket.setdefault(joined.first(i), []).append(i)
+        for r, (tree, members) in trees.items():
+            if joined.first(r) != joined.first(i):
+                near = {r: [j for node in tree.within(prints[i], radius) for j in members[node]]}
+                meet(i, near, failed)
+        mine = [r for r in trees if joined.first(r) == joined.first(i)]
+        parts = sorted((trees.pop(r) for r in mine), key=lambda t: -len(t[1])) or [(simhash.BKTree(), [])]
+        tree, members = parts[0]
+        for other, held in parts[1:]:
+            for value in other.values:
+                tree.insert(value)
+            members += held
+        tree.insert(prints[i])
+        members.append([i])
+        trees[joined.first(i)] = (tree, members)
+    return [joined.first(i) for i in range(len(sets))]
 
 
 def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -134,8 +159,9 @@ def _described(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: the smallest id reachable by pairs of at least that similarity.
 
-    Texts without a word are equal.  Rows with a null id have the component of
-    the ids with the same shingles, if any, and connect nothing.
+    Texts without a word, null ones included, are equal.  Rows with a null id
+    have the component of the ids with the same shingles, if any, and connect
+    nothing.  Repeated rows are alike; an empty table gives an empty result.
     """
     described = workdir.cut(_described(docs, shingle, id_col, text_col))
     nodes = workdir.cut(described.groupBy("set_key").agg(F.min("doc_id").alias("label"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("label is not null"))
@@ -181,7 +207,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
 
     named = texts.mapInArrow(run, "set_key long, component_id long")
     named = nodes.select("set_key", "label").join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "label").alias("component_id"))
-    return described.select("doc_id", "set_key").join(named, "set_key", "left").select("doc_id", "component_id")
+    # written first, so that both sides of the join are plain exchanges, of which Spark splits large partitions
+    return described.select("doc_id", "set_key").join(workdir.cut(named), "set_key", "left").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
