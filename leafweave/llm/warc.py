@@ -1,7 +1,10 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
 ``write`` stores records as WARC/1.1 files, each record a gzip member of its
-own.  ``read`` gives a file's records back.  ``derive`` makes two records of
+own.  ``read`` gives a file's records back, of versions 1.0 and 1.1, by member
+or plain; header names are matched in any case, and a header that is repeated
+keeps all its values, apart by commas.  A file that breaks off gives the
+records before the break.  ``derive`` makes two records of
 every response: a metadata record (title, links, the source's HTTP headers)
 and a conversion record (the page's visible text), both of which refer to the
 response by its identifier and carry its payload digest, and a block digest of
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from leafweave.llm import workdir
 
 VERSION = b"WARC/1.1"
+VERSIONS = (VERSION, b"WARC/1.0")
 #: Date of records that have none of their own.
 DATE = "2024-01-01T00:00:00Z"
 #: Level of compression: 4 made files 1 % larger than 6 and took two thirds of its time.
@@ -145,7 +149,7 @@ def derived(r: dict) -> list[dict]:
     given = dict(r["headers"])
     head, _, payload = r["block"].partition(b"\r\n\r\n")
     source = [x for x in head.decode("latin-1").split("\r\n")[1:] if ":" in x]
-    text, title, links = convert(payload.decode("utf-8", "replace"))
+    text, title, links = convert(_decoded(source, payload))
     payload_digest = given.get("WARC-Payload-Digest") or digest(payload)
     out = []
     fields = [f"title: {title}", *[f"source-header: {x}" for x in source], *[f"outlink: {x}" for x in links]]
@@ -156,6 +160,35 @@ def derived(r: dict) -> list[dict]:
     return out
 
 
+def _decoded(headers: list[str], payload: bytes) -> str:
+    """A payload's text: chunks joined, gzip or deflate undone, by the header's character set or else as UTF-8."""
+    given = {k.strip().lower(): v.strip() for k, _, v in (h.partition(":") for h in headers)}
+    if "chunked" in given.get("transfer-encoding", "").lower():
+        payload = _unchunked(payload)
+    if (kind := given.get("content-encoding", "").lower()) in ("gzip", "x-gzip", "deflate"):
+        try:
+            payload = zlib.decompressobj(31 if "gzip" in kind else 15).decompress(payload)
+        except zlib.error:
+            pass  # some servers name an encoding that they didn't use
+    found = re.search(r"charset=[\"']?([A-Za-z0-9._-]+)", given.get("content-type", ""), re.I)
+    try:
+        return payload.decode(found[1] if found else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """The chunks of a body, as far as they are well formed; a body without chunks as it is."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]*\r\n").match(payload, at):
+        size = int(m[1], 16)
+        out.append(payload[m.end() : m.end() + size])
+        at = m.end() + size + 2
+        if not size:
+            break
+    return b"".join(out) if at else payload
+
+
 def _clean(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value
 
@@ -167,31 +200,83 @@ def serialise(r: dict) -> bytes:
     return head.encode("utf-8") + b"\r\n\r\n" + r["block"] + b"\r\n\r\n"
 
 
+#: Headers that are a record's own fields.
+_FIELDS = {"warc-record-id": "record_id", "warc-type": "type", "warc-target-uri": "uri", "warc-date": "date"}
+
+
+def _head(head: bytes) -> tuple[dict, dict, int]:
+    """(fields, other headers, length of the block) of a record's head."""
+    first, *lines = head.split(b"\r\n" if b"\r\n" in head else b"\n")
+    if first.strip() not in VERSIONS:
+        raise ValueError(f"not a WARC record: {first[:40]!r}")
+    fields, headers, size = {"uri": "", "date": "", "type": "", "record_id": ""}, {}, 0
+    joined: list[str] = []
+    for line in (x.decode("utf-8", "replace") for x in lines):
+        if line[:1] in (" ", "\t") and joined:  # a folded line goes on
+            joined[-1] += " " + line.strip()
+        elif line:
+            joined.append(line)
+    for line in joined:
+        name, _, value = line.partition(":")
+        name, value = name.strip(), value.strip()
+        if name.lower() == "content-length":
+            size = int(value)
+        elif name.lower() in _FIELDS:
+            fields[_FIELDS[name.lower()]] = value
+        else:
+            known = next((k for k in headers if k.lower() == name.lower()), name)
+            headers[known] = f"{headers[known]}, {value}" if known in headers else value
+    return fields, headers, size
+
+
 def parse(member: bytes) -> dict:
     """A record from its bytes."""
-    head, _, rest = member.partition(b"\r\n\r\n")
-    first, *lines = head.split(b"\r\n")
-    if first != VERSION:
-        raise ValueError("not a WARC/1.1 record")
-    fields = dict(x.decode("utf-8").split(": ", 1) if b": " in x else (x.decode("utf-8").rstrip(":"), "") for x in lines)
-    size = int(fields.pop("Content-Length"))
-    return {"record_id": fields.pop("WARC-Record-ID"), "type": fields.pop("WARC-Type"), "uri": fields.pop("WARC-Target-URI", ""), "date": fields.pop("WARC-Date"), "headers": fields, "block": rest[:size]}
-
-
-def members(stream) -> Iterator[bytes]:
-    """Decompressed gzip members of a file, one at a time."""
-    raw, inflate, out = b"", zlib.decompressobj(31), []
+    (record,) = records(iter([member]))
+    return record
+
+
+def records(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records of a stream of bytes, each as soon as it is whole."""
+    held = b""
     while True:
-        if not raw:
-            raw = stream.read(1 << 20)
-            if not raw:
+        held = held.lstrip(b"\r\n")
+        end = next((at + len(gap) for gap in (b"\r\n\r\n", b"\n\n") if (at := held.find(gap)) >= 0), 0)
+        if end:
+            fields, headers, size = _head(held[:end].rstrip(b"\r\n"))
+            parts, have = [held[end:]], len(held) - end
+            while have < size and (more := next(pieces, b"")):
+                parts.append(more)
+                have += len(more)
+            if have < size:
                 return
-        out.append(inflate.decompress(raw))
-        raw = b""
+            rest = b"".join(parts)
+            yield {**fields, "headers": headers, "block": rest[:size]}
+            held = rest[size:]
+        elif more := next(pieces, b""):
+            held += more
+        else:
+            return
+
+
+def inflated(stream) -> Iterator[bytes]:
+    """The bytes of a file, of gzip members or plain, in pieces."""
+    raw = stream.read(1 << 20)
+    if raw[:2] != b"\x1f\x8b":
+        while raw:
+            yield raw
+            raw = stream.read(1 << 20)
+        return
+    inflate = zlib.decompressobj(31)
+    while raw:
+        try:
+            yield inflate.decompress(raw)
+        except zlib.error:  # broken from here on
+            return
+        raw = inflate.unused_data if inflate.eof else b""
         if inflate.eof:
-            raw = inflate.unused_data
-            yield b"".join(out)
-            inflate, out = zlib.decompressobj(31), []
+            inflate = zlib.decompressobj(31)
+            raw = raw.lstrip(b"\0")
+        raw = raw or stream.read(1 << 20)
 
 
 _SCHEMA = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
@@ -227,7 +312,7 @@ def _held(paths: Iterator[dict]) -> Iterator[dict]:
     for row in paths:
         fs, at = workdir.open_fs(row["path"])
         with fs.open_input_stream(at, compression=None) as stream:
-            yield from map(parse, members(stream))
+            yield from records(piece for piece in inflated(stream) if piece)
 
 
 def _written(records: Iterator[dict], folder: str) -> Iterator[pa.RecordBatch]:

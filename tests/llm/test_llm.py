@@ -561,6 +561,31 @@ def test_warc(spark):
     assert warc.derivatives(pages.where("page_id < 0")).count() == 0
 
 
+def test_warc_files_of_others(spark, tmp_path):
+    """Version 1.0, members or plain, any case, repeated headers, a broken end."""
+    import gzip
+
+    def record(n, body, version="1.0"):
+        return (f"WARC/{version}\r\nwarc-type: response\r\nWARC-Record-ID: <urn:{n}>\r\nWARC-Date: d\r\nWARC-Target-URI: http://{n}/\r\nWARC-Concurrent-To: a\r\nWARC-Concurrent-To: b\r\ncontent-length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    page = "<p>é &amp; x</p>".encode("latin-1")
+    packed = gzip.compress(page)
+    chunked = b"".join(f"{len(packed[k : k + 7]):x}\r\n".encode() + packed[k : k + 7] + b"\r\n" for k in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + page
+    coded = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked
+    whole = [record(1, plain), record(2, coded, "1.1"), record(3, b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, whole)))
+    (tmp_path / "b.warc").write_bytes(b"".join(whole))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, whole[:2])) + gzip.compress(record(4, plain))[:60])
+    for name, n in (("a.warc.gz", 3), ("b.warc", 3), ("c.warc.gz", 2)):
+        found = warc.read(spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string"))
+        rows_ = sorted(found.collect(), key=lambda r: r.record_id)
+        assert [r.record_id for r in rows_] == [f"<urn:{k}>" for k in range(1, n + 1)]
+        assert rows_[0].headers["WARC-Concurrent-To"] == "a, b" and bytes(rows_[0].block) == plain
+        made = [bytes(r.block).decode() for r in warc.derive(found).collect() if r.type == "conversion"]
+        assert made.count("é & x") == 2
+
+
 def test_warc_tokens_equal_parser():
     rng = random.Random(5)
     bits = ['<p>', "</p>", '<script>var t="</p>";</script>', "<script>", "<style>p{}</style>", "<title>a &amp; b</title>", "x y", " &amp; ", "&lt", "<A HREF=u>", '<a x href="q&amp;r">', "<a href=''>", "</a>", "<!-- ad -->", "<!--->", "<br/>", "\n", '<div id="1">', "</div >", "<noscript>", "</noscript>", "<template/>", "<", "&copy", "<textarea>", "</title>"]
