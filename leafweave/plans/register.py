@@ -70,18 +70,7 @@ STRIP = r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
 NORM = r"regexp_replace(regexp_replace(regexp_replace(text, '\p{Nd}+', '{n}', 'g'), '[\s\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-def source_edges(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1
-    lines = F.split("text", "\n")
-    both = F.array(F.struct(F.lit(0).alias("ord"), F.lit(0.0).alias("y0"), F.element_at(lines, 1).alias("text")), F.struct(F.lit(1).alias("ord"), F.lit(760.0).alias("y0"), F.element_at(lines, -1).alias("text")))
-    numbered = docs.withColumn("page", page)  # before the rows multiply: a window beside explode() would see its output
-    return numbered.select(F.col("source").alias("doc"), "page", F.explode(both).alias("b")).select("doc", "page", "b.ord", "b.y0", F.lit(800.0).alias("height"), "b.text")
-
-
-V2 = """pg AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, string_split(text, chr(10)) AS ls FROM documents),
- se AS (SELECT doc, page, 0 AS ord, 0.0 AS y0, ls[1] AS text FROM pg UNION ALL SELECT doc, page, 1, 760.0, ls[-1] FROM pg)"""
-FAM = f"""{V2}, cand AS (SELECT doc, page, CASE WHEN y0 < 96 THEN 'RUNNING_HEADER' ELSE 'RUNNING_FOOTER' END AS role, {NORM} AS pattern FROM se WHERE length({STRIP}) > 0),
+FAM = f"""{V1}, cand AS (SELECT doc, page, CASE WHEN y0 < 96 THEN 'RUNNING_HEADER' ELSE 'RUNNING_FOOTER' END AS role, {NORM} AS pattern FROM tb WHERE (y0 < 96 OR y0 > 704) AND length({STRIP}) > 0),
  pp AS (SELECT doc, role, pattern, page, count(*) AS n FROM cand WHERE length(pattern) >= 2 GROUP BY ALL),
  rr AS (SELECT *, sum(n) OVER (PARTITION BY doc, role, pattern) AS total, page - row_number() OVER (PARTITION BY doc, role, pattern ORDER BY page) AS island FROM pp),
  fam AS (SELECT doc, role, pattern, min(page) AS first_page, max(page) AS last_page, count(*) AS n_pages FROM rr WHERE total >= 2 GROUP BY doc, role, pattern, island HAVING count(*) >= 2)"""
@@ -128,12 +117,12 @@ def band_candidates(spark, d):
 
 @query(f"WITH {FAM} SELECT * FROM fam")
 def layout_families(spark, d):
-    return layout.families(layout.band_candidates(source_edges(spark, d)))
+    return layout.families(layout.band_candidates(text_blocks(spark, d)))
 
 
-@query(f"WITH {FAM}, nb AS (SELECT doc, page, ord, {NORM} AS pattern FROM se) SELECT nb.doc, nb.page, nb.ord::BIGINT AS ord, coalesce(min(fam.role), 'BODY') AS role FROM nb LEFT JOIN fam ON fam.doc = nb.doc AND fam.pattern = nb.pattern AND nb.page BETWEEN fam.first_page AND fam.last_page GROUP BY nb.doc, nb.page, nb.ord")
+@query(f"WITH {FAM}, nb AS (SELECT doc, page, ord, {NORM} AS pattern FROM tb) SELECT nb.doc, nb.page, nb.ord::BIGINT AS ord, coalesce(min(fam.role), 'BODY') AS role FROM nb LEFT JOIN fam ON fam.doc = nb.doc AND fam.pattern = nb.pattern AND nb.page BETWEEN fam.first_page AND fam.last_page GROUP BY nb.doc, nb.page, nb.ord")
 def mark_running_blocks(spark, d):
-    blocks = source_edges(spark, d)
+    blocks = text_blocks(spark, d)
     out = layout.mark(blocks, layout.families(layout.band_candidates(blocks)))
     return out.groupBy("doc", "page", F.col("ord").cast("long").alias("ord")).agg(F.min("role").alias("role"))
 
@@ -179,9 +168,12 @@ def llm_input_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring(F.sha2(F.concat("source", "text"), 256), 1, 16).alias("input_hash"))
 
 
-@query("SELECT event_id, coalesce(json_extract_string(props, '$.missing'), 'none') AS field FROM events")
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS field, coalesce(json_extract_string(props, '$.missing'), 'none') AS absent, coalesce(json_extract_string(CASE WHEN event_id % 3 = 0 THEN '{\"other\": 1}' ELSE props END, '$.k'), 'none') AS some FROM events")
 def llm_json_fields(spark, d):
-    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("field"))
+    """A field's value, or a default where the field or the whole object is absent."""
+    get = lambda x, k: F.coalesce(F.get_json_object(x, f"$.{k}"), F.lit("none"))
+    some = F.when(F.col("event_id") % 3 == 0, '{"other": 1}').otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", get(F.col("props"), "k").alias("field"), get(F.col("props"), "missing").alias("absent"), get(some, "k").alias("some"))
 
 
 @query(f"WITH {PS} SELECT doc, page, coalesce(last_value(CASE WHEN c IN ('N','G') THEN c END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS UNBOUNDED PRECEDING), 'CONTRACT_BODY') AS label FROM ps")
