@@ -125,12 +125,28 @@ def _long(x: np.ndarray) -> pa.Array:
 PIECE = "key long, piece long, doc_id long, place long, copies int"
 
 
+def _runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place) of ranges of starts, those that follow each other in a document joined, up to 1,000 starts each."""
+    if not len(doc):
+        return doc.astype(np.int64), start.astype(np.int64)
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + count)[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != end[:-1]))
+    at = np.flatnonzero(new)
+    first, size = start[at], end[np.append(at[1:], len(doc)) - 1] - start[at]
+    parts = -(-size // 1000)
+    k = tk.spread(np.zeros(len(at), dtype=np.int64), parts)
+    begin = np.repeat(first, parts) + 1000 * k
+    return np.repeat(doc[at], parts), begin << 10 | np.minimum(np.repeat(first + size, parts) - begin, 1000)
+
+
 def scan(docs: DataFrame, plan: Plan) -> DataFrame:
     """One row for each different piece of a scan task, and what needs no more looking at.
 
     Equal pieces of one task, symbol by symbol, are combined: a row with the
-    first one's place and their number.  ``copies`` 0 marks a further one; its
-    key is its own, so that no key gathers them.
+    first one's place and their number.  Further ones of a document that follow
+    each other are one row, with ``copies`` 0 and a key of its own, so that no
+    key gathers them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +188,11 @@ def scan(docs: DataFrame, plan: Plan) -> DataFrame:
         np.add.at(copies, head[~differ], 1)
         copies[other] = 1
         more = more[~differ]
-        key[more] = tk.mix(tk.mix(doc[more].astype(np.uint64)) + place[more].astype(np.uint64))
+        run_doc, run_place = _runs(doc[more], place[more] >> 10, place[more] & 1023)
+        rest = np.delete(np.arange(len(key)), more)
+        run_key = tk.mix(tk.mix(run_doc.astype(np.uint64)) + run_place.astype(np.uint64))
+        key, piece, doc, place = np.concatenate([key[rest], run_key]), np.concatenate([piece[rest], run_key]), np.concatenate([doc[rest], run_doc]), np.concatenate([place[rest], run_place])
+        copies = np.concatenate([copies[rest], np.zeros(len(run_doc), dtype=np.int32)])
         for lo in range(0, len(key), 100_000):
             part = slice(lo, lo + 100_000)
             yield pa.RecordBatch.from_arrays([_long(key[part]), _long(piece[part]), _long(doc[part]), _long(place[part]), pa.array(copies[part])], ["key", "piece", "doc_id", "place", "copies"])
@@ -195,7 +215,8 @@ def judged(found: DataFrame, plan: Plan) -> DataFrame:
         state = F.when(copy, "gone").when(rival, "open")
     else:
         state = F.when(copy, "gone").when(rival, F.when(F.col("copies") > 1, "known").otherwise("open")).when(F.col("copies") > 1, "gone")
-    return seen.withColumn("state", state).where("state is not null").select("key", "doc_id", "place", "rivals", "state")
+    asked = F.col("state") != "gone"
+    return seen.withColumn("state", state).where("state is not null").select(F.when(asked, F.col("key")).alias("key"), "doc_id", "place", F.when(asked, F.col("rivals")).alias("rivals"), "state")
 
 
 def by_document(docs: DataFrame) -> DataFrame:
@@ -203,7 +224,7 @@ def by_document(docs: DataFrame) -> DataFrame:
     return docs.repartition(workdir.partitions(docs), "doc_id")
 
 
-WINDOWS = "key long, crowded boolean, doc_id long, start long, count int, known boolean, text binary"
+WINDOWS = "key long, doc_id long, start long, count int, known boolean, text binary"
 
 
 def opened(dealt: DataFrame, todo: DataFrame, plan: Plan) -> DataFrame:
@@ -233,9 +254,9 @@ def opened(dealt: DataFrame, todo: DataFrame, plan: Plan) -> DataFrame:
                     s, n = int(place[j]) >> 10, int(place[j]) & 1023
                     if crowded[j]:
                         for t in range(s, s + n):
-                            out.append((key[j], True, doc, t, 1, bool(known[j]), text[starts[t] : ends[t - 1 + plan.length]].tobytes()))
+                            out.append((key[j], doc, t, 1, bool(known[j]), text[starts[t] : ends[t - 1 + plan.length]].tobytes()))
                     else:
-                        out.append((key[j], False, doc, s, n, bool(known[j]), text[starts[s] : ends[s + n - 2 + plan.length]].tobytes()))
+                        out.append((key[j], doc, s, n, bool(known[j]), text[starts[s] : ends[s + n - 2 + plan.length]].tobytes()))
                 if len(out) > 20_000:
                     yield _windows(out)
                     out = []
@@ -246,8 +267,8 @@ def opened(dealt: DataFrame, todo: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _windows(rows: list[tuple]) -> pa.RecordBatch:
-    key, crowded, doc, start, count, known, text = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(crowded), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(known), pa.array(text, pa.binary())], ["key", "crowded", "doc_id", "start", "count", "known", "text"])
+    key, doc, start, count, known, text = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(known), pa.array(text, pa.binary())], ["key", "doc_id", "start", "count", "known", "text"])
 
 
 RANGE = "doc_id long, start long, stop long"
@@ -255,7 +276,7 @@ RANGE = "doc_id long, start long, stop long"
 
 def crowded_ranges(windows: DataFrame, plan: Plan) -> DataFrame:
     """Starts of repeated windows under crowded keys: an aggregate on the windows' symbols that combines before it shuffles, and a salted join."""
-    w = windows.where("crowded").select("text", "doc_id", "start", "known")
+    w = windows.select("text", "doc_id", "start", "known")
     total = w.groupBy("text").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
     total = total.where("first <> last").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hit = w.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")).join(total, ["text", "salt"])
@@ -293,8 +314,9 @@ def ranges(dealt: DataFrame, docs: DataFrame, plan: Plan, resolve) -> DataFrame:
     """
     # dealt by key alone, both windows of judged() share one exchange and one sort
     found = scan(docs, plan).repartition(workdir.partitions(docs), "key")
-    todo = workdir.cut(judged(found, plan))
-    windows = opened(dealt, todo, plan)
+    todo = workdir.written(judged(found, plan), "pieces")
+    crowded = F.col("rivals") > plan.key_pieces
+    windows = opened(dealt, todo.where(crowded), plan)  # of few documents
     solve = resolve(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +327,7 @@ def ranges(dealt: DataFrame, docs: DataFrame, plan: Plan, resolve) -> DataFrame:
             doc, start, stop = solve(list(rows.values()))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], ["doc_id", "start", "stop"])
 
-    spread = windows.where("not crowded").select("key", "doc_id", "start", "count", "known", "text").repartition(workdir.partitions(docs), "key")
+    spread = opened(dealt, todo.where(~crowded), plan).select("key", "doc_id", "start", "count", "known", "text").repartition(workdir.partitions(docs), "key")
     first, number = F.shiftright("place", 10), F.col("place").bitwiseAND(1023)
     gone = todo.where("state in ('gone', 'known')").select("doc_id", first.alias("start"), (first + number).alias("stop"))
     return gone.unionByName(spread.mapInArrow(run, RANGE)).unionByName(crowded_ranges(windows, plan))
