@@ -599,3 +599,133 @@ def test_warc_tokens_equal_parser():
         assert ("".join(got.text).split(), "".join(got.title), got.links) == ("".join(page.text).split(), "".join(page.title), page.links), html
         split += "<" not in "".join(warc._TOKEN.split(html)[::5])
     assert 500 < split < 4500
+
+
+CLASH = ("fp", "label", "node", "root", "k0", "d0", "n", "weight", "sequence_id", "offset", "length", "piece", "place", "copies", "rivals", "state", "set_key", "bands", "component_id", "size", "shard", "text_key", "item_id", "kept", "part", "asked", "ranges", "_at")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, table):
+    """Nulls in every column, empty, very long and repeated texts, shared ids, and columns that operators use themselves."""
+    docs, plain = with_nulls(spark, table)
+    docs = docs.union(spark.createDataFrame([(950, "é" * 200_000, "fr", None, None, None), (951, "a b " * 60_000, None, "s", 1, None), (952, "# " * 50, "xx", "s", 1, None)], SCHEMA))
+    for c in CLASH:
+        docs = docs.withColumn(c, F.lit("clash"))
+    return docs.repartition(4), [*plain, (950, "é" * 200_000), (951, "a b " * 60_000), (952, "# " * 50)]
+
+
+def test_awkward_rows(spark, awkward):
+    docs, plain = awkward
+    ids = Counter(i for i, _ in plain)
+    items = spark.createDataFrame([(1, "word word word word"), (2, None), (None, "x"), (3, "")], "item_id long, text string").withColumn("fp", F.lit(1))
+    by_id = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    assert by_id(simhash.near_duplicates(docs)) == by_id(similar.near_duplicates(docs)) == ids
+    assert by_id(quality_rules.quality(docs)) == by_id(pii.find(docs, pii.fit(docs))) == by_id(kd_shards.shard(docs, shards=3)) == ids
+    assert by_id(suffix_trees.dedup(docs)) == by_id(collection_bwt.dedup(docs, window=40, gram=16)) == ids
+    vocabulary = tokens.default_vocabulary()
+    assert by_id(token_files.digests(token_files.write(docs, workdir.new_folder(spark, "t"), vocabulary))) == ids
+    packed = packing.pack(workdir.cut(packing.pieces(docs, vocabulary)))
+    assert by_id(packed.where("piece = 0")) == ids
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == {900}
+    # stages keep all columns, and rows that nothing speaks against
+    for out in (quality_rules.passing(docs), similar.representatives(docs), simhash.representatives(docs), decontaminate.clean(docs, items), pii.redact(docs, {})):
+        assert out.columns == docs.columns and set(by_id(out)) <= set(ids)
+    assert by_id(decontaminate.clean(docs, items)) == ids - Counter([900])
+    assert by_id(pii.redact(docs, {})) == ids
+
+
+def test_long_texts(spark):
+    """Texts of 60,000 words with shared passages, against brute force."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7)))
+    passage = " ".join(word() for _ in range(400))
+    docs = []
+    for i in range(3):
+        w = [word() for _ in range(20_000)]
+        docs.append((i, " ".join(w[:7000]) + " " + passage + "\n" + " ".join(w[7000:]) + " " + passage[: 900 + 700 * i]))
+    seen, want = set(), {}
+    for i, t in docs:
+        w = t.split()
+        gone = np.zeros(len(w), dtype=bool)
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            if g in seen:
+                gone[k : k + 20] = True
+            seen.add(g)
+        want[i] = (len(w), int(gone.sum()))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in suffix_trees.dedup(frame).collect()} == want and want[2][1] > 400
+    data = {i: t.encode() for i, t in docs}
+    counts = Counter(b[k : k + 200] for b in data.values() for k in range(len(b) - 199))
+    got = {r.doc_id: r.n_removed for r in collection_bwt.dedup(frame).collect()}
+    for i, b in data.items():
+        gone = np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - 199):
+            if counts[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        assert got[i] == int(gone.sum()) > 2000
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage against brute force on what the stage before it kept."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(2, 8))) for _ in range(600)]
+    prose = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    items = [(i, prose(rng.randint(8, 25))) for i in range(4)]
+    docs = [(i, prose(rng.randint(25, 120))) for i in range(60)]
+    docs += [(100, "too short"), (101, None), (102, ""), (103, "one two three four five six " * 8)]
+    docs += [(110 + i, " ".join("zz" if k == 7 else w for k, w in enumerate(docs[i][1].split()))) for i in range(8)] + [(130, docs[3][1]), (131, docs[3][1].upper())]
+    near = list(items[1][1])
+    near[3] = near[-4] = "q"
+    docs += [(140, prose(20) + " " + items[0][1].upper() + " " + prose(9)), (141, prose(30) + " " + "".join(near) + " " + prose(12))]
+    docs += [(150, prose(12) + " a.b@c.com " + prose(8) + " 10.2.3.4"), (151, prose(15) + " +1 (743) 555-3824 zz 4111 1111 1111 1111 " + prose(6)), (152, prose(3000))]
+    spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept, columns = dict(docs), held.columns
+
+    def passes(t):
+        w = (t or "").split()
+        c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        again = {k + j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        return len(w) >= 10 and 100 * len(again) <= 20 * len(w)
+
+    def roots(rows_):
+        sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows_.items()}
+        root = {i: i for i in sets}
+        for _ in range(4):
+            for a in sets:
+                for b in sets:
+                    if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+        return {i for i in root if root[i] == i}
+
+    plain = lambda t: " ".join(w.strip("!,.") for w in t.lower().split())
+
+    def redacted(t):
+        digits = lambda m: re.sub("[^0-9]", "", m.group())
+        fits = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.group().split(".")), "card": lambda m: 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m)), "phone": lambda m: 9 <= len(digits(m)) <= 15}
+        for kind, p in PATTERNS.items():
+            t = re.sub(p, lambda m, kind=kind: f"[{kind.upper()}]" if fits[kind](m) else m.group(), t)
+        return t
+
+    want = [lambda r: {i: t for i, t in r.items() if passes(t)}, lambda r: {i: t for i, t in r.items() if i in roots(r)}, lambda r: {i: t for i, t in r.items() if all(naive_distance(plain(x), plain(t)) > 0.2 * len(x) for _, x in items)}, lambda r: {i: redacted(t) for i, t in r.items()}]
+    for (name, stage), then in zip(corpus_pipeline.STAGES, want):
+        out = stage(spark, held, str(tmp_path))
+        assert out.columns == columns, name
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        held, kept = spark.read.parquet(path), then(kept)
+        rows_ = held.collect()
+        assert {r.doc_id: r.text for r in rows_} == kept and len(rows_) == len(kept), name
+        assert all(r.n_chars == len(r.text) for r in rows_)
+    assert {100, 101, 102, 103, 110, 130, 131, 140, 141}.isdisjoint(kept) and len(kept) > 55 and "[CARD]" in kept[151]
+    final = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    expected = Counter()
+    for i, t in kept.items():
+        ids = plain_ids(t)
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        expected.update((i, k, a, b - a, crc(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    assert final == expected
