@@ -122,7 +122,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 #: start is packed with the number of starts, which is below 1024.
-PIECE = "key long, piece long, doc_id long, place long, copies int"
+PIECE = "key long, doc_id long, place long, copies int"
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,21 +181,19 @@ def scan(docs: DataFrame, plan: Plan) -> DataFrame:
         head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))[more]
         differ = size[more] != size[head]
         differ[~differ] = ~alike(text, at[more[~differ]], at[head[~differ]], size[more[~differ]])
-        other = more[differ]  # hashes alike, symbols not: a piece of its own
-        piece[other] = tk.mix(piece[other] ^ tk.mix(doc[other].astype(np.uint64) + tk.mix(place[other].astype(np.uint64))))
+        other = more[differ]  # hashes alike, symbols not
         copies = np.zeros(len(key), dtype=np.int32)
-        copies[new] = 1
+        copies[new] = copies[other] = 1
         np.add.at(copies, head[~differ], 1)
-        copies[other] = 1
         more = more[~differ]
         run_doc, run_place = _runs(doc[more], place[more] >> 10, place[more] & 1023)
         rest = np.delete(np.arange(len(key)), more)
         run_key = tk.mix(tk.mix(run_doc.astype(np.uint64)) + run_place.astype(np.uint64))
-        key, piece, doc, place = np.concatenate([key[rest], run_key]), np.concatenate([piece[rest], run_key]), np.concatenate([doc[rest], run_doc]), np.concatenate([place[rest], run_place])
+        key, doc, place = np.concatenate([key[rest], run_key]), np.concatenate([doc[rest], run_doc]), np.concatenate([place[rest], run_place])
         copies = np.concatenate([copies[rest], np.zeros(len(run_doc), dtype=np.int32)])
         for lo in range(0, len(key), 100_000):
             part = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([_long(key[part]), _long(piece[part]), _long(doc[part]), _long(place[part]), pa.array(copies[part])], ["key", "piece", "doc_id", "place", "copies"])
+            yield pa.RecordBatch.from_arrays([_long(key[part]), _long(doc[part]), _long(place[part]), pa.array(copies[part])], ["key", "doc_id", "place", "copies"])
 
     return docs.where("doc_id is not null").mapInArrow(run, PIECE)
 
@@ -207,9 +205,10 @@ def judged(found: DataFrame, plan: Plan) -> DataFrame:
     to be removed, as an equal piece of its task shows; "open" if that depends
     on rivals; "known" if it is gone and rivals must still see it.
     """
-    alike_ = Window.partitionBy("key", "piece").orderBy("doc_id", "place")
-    again = (F.lag("doc_id").over(alike_) == F.col("doc_id")) & (F.lag("place").over(alike_) == F.col("place"))
-    seen = found.withColumn("again", F.coalesce(again, F.lit(False))).where("not again or copies = 0").withColumn("rivals", F.sum((F.col("copies") > 0).cast("int")).over(Window.partitionBy("key")))
+    under = Window.partitionBy("key")
+    before = under.orderBy("doc_id", "place")
+    again = (F.lag("doc_id").over(before) == F.col("doc_id")) & (F.lag("place").over(before) == F.col("place"))
+    seen = found.withColumn("again", F.coalesce(again, F.lit(False))).where("not again or copies = 0").withColumn("rivals", F.sum((F.col("copies") > 0).cast("int")).over(under))
     copy, rival = F.col("copies") == 0, F.col("rivals") > 1
     if plan.keep_first:
         state = F.when(copy, "gone").when(rival, "open")
