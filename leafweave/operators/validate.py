@@ -25,6 +25,7 @@ def issues(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     leaves = below.join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     empty = leaves.where(F.coalesce(F.size("work_items"), F.lit(0)) <= 0).agg(F.count("*").alias("n"))
     number = lambda c, text: F.concat(F.col(c).cast("string"), F.lit(text))
+    # Categories, severities and messages.
     found = (
         rows(below.where(blank("code")), "structure", "warning", said("Node ", " has no WBS code"), node),
         rows(below.where(blank("parent")), "structure", "warning", said("Node ", " has no parent"), node),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from leafweave.operators import tree
 
+# Column heads, widths and the wording of the coverage lines below.
 HEADER = ("Code", "Title", "Level", "Type", "Work Items", "Source Pages")
 WIDTHS = (12, 50, 8, 12, 12, 20)
 
