@@ -30,6 +30,8 @@ from leafweave.llm import textkit as tk
 WINDOW_BYTES = 200
 #: Bytes of an anchor.
 GRAM_BYTES = 64
+#: Keys with more pieces than this are split by whole windows; a piece has up to 137 of them, so this is rarer than for words.
+KEY_PIECES = 5000
 #: Symbols of one collection, about: strings of a larger one are dealt to several by their anchors.
 COLLECTION = 4_000_000
 #: Arrays of up to so many bytes stay in memory.
@@ -237,7 +239,7 @@ def _collection(plan: anchors.Plan, rows: list[tuple], data: np.ndarray, starts:
     return np.array(doc, dtype=np.int64), np.array(start, dtype=np.int64), np.array(stop, dtype=np.int64)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = GRAM_BYTES, id_col: str = "doc_id", text_col: str = "text", key_pieces: int = anchors.KEY_PIECES) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = GRAM_BYTES, id_col: str = "doc_id", text_col: str = "text", key_pieces: int = KEY_PIECES) -> DataFrame:
     """Removes each byte covered by a string of ``window`` bytes that also starts elsewhere.
 
     Gives doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept,
