@@ -5,7 +5,7 @@ DataFrame.  A stage is written as Parquet and read again before the next; all
 but the last return the columns of documents.
 
 Null and empty texts have no words, so the first stage drops them; alone, the
-others keep them.  Rows with a null id are nobody's copy and stay.  Rows that
+second would keep one of them and the others all.  Rows with a null id are nobody's copy and stay.  Rows that
 share an id go or stay together in the second stage.  Other columns pass
 through unchanged; an empty table gives an empty result.
 """
